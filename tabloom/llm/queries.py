@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, token_files
+from . import bpe, imatch, packing, quality, sharding, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored_digests(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end=0)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(_documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
@@ -33,8 +37,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end=2, most=1024)
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_files, op5_byte_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_files, op4_quality_rules, op5_byte_bpe, op8_best_fit_packing, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
