@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, packing, quality, sharding, token_files
+from . import bpe, imatch, langid, packing, quality, sharding, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end=2, most=1024)
 
@@ -42,7 +46,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_files, op4_quality_rules, op5_byte_bpe, op8_best_fit_packing, op10_imatch)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,8 +150,9 @@ def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int =
 
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     dealt = narrow.repartitionByRange(n_parts(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
-    manifest = [r.asDict() for r in dealt.mapInArrow(write, _MANIFEST).orderBy("shard").collect()]
-    return uri, manifest
+    # Sorted here: an orderBy would sample, and so write, the shards twice.
+    manifest = [r.asDict() for r in dealt.mapInArrow(write, _MANIFEST).collect()]
+    return uri, sorted(manifest, key=lambda m: m["shard"])
 
 
 def read_shards(spark, uri: str, manifest: list[dict], id_col: str = "doc_id") -> DataFrame:

@@ -74,21 +74,53 @@ class Chunked:
 _ENCODERS: dict[tuple, Chunked] = {}
 
 
+def _letters() -> dict[int, str]:
+    """How the tokenizers library writes bytes as characters: visible ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def byte_bpe(path: str) -> Chunked:
     """Ids of a tokenizers file as little-endian unsigned 32-bit bytes.
 
-    The strings of special tokens in a text are ordinary text.
+    The strings of special tokens in a text are ordinary text. A chunk without
+    control characters is split here and its pieces are given to the library's
+    BPE model one by one, which saves the bookkeeping of a whole encoding; any
+    other chunk is encoded by the library as a text.
     """
     key = ("tokenizers", path)
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+        letters, tokenize = _letters(), tokenizer.model.tokenize
+        known: dict[str, bytes] = {}
+
+        def of_piece(piece: str) -> bytes:
+            ids = known.get(piece)
+            if ids is None:
+                # Latin-1 gives a character for each byte, which translate() then writes as the library does.
+                word = piece.encode().decode("latin-1").translate(letters)
+                ids = np.array([t.id for t in tokenize(word)], dtype="<u4").tobytes()
+                if len(known) >= KEPT:
+                    known.clear()
+                if len(piece) <= LONGEST:
+                    known[piece] = ids
+            return ids
 
         def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            out = []
+            for text in texts:
+                if text.isprintable():
+                    out.append(b"".join(map(of_piece, split(text))))
+                else:
+                    out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            return out
 
         _ENCODERS[key] = Chunked(encode_many)
     return _ENCODERS[key]
