@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,7 +19,8 @@ import numpy as np
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept per worker and kind, and the longest that is kept: bounds of memory, not of input.
-KEPT, LONGEST = 250_000, 64
+KEPT, LONGEST = 400_000, 64
+MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -106,20 +108,25 @@ def byte_bpe(path: str) -> Chunked:
             if ids is None:
                 # Latin-1 gives a character for each byte, which translate() then writes as the library does.
                 word = piece.encode().decode("latin-1").translate(letters)
-                ids = np.array([t.id for t in tokenize(word)], dtype="<u4").tobytes()
-                if len(known) >= KEPT:
-                    known.clear()
+                ids = array("I", [t.id for t in tokenize(word)]).tobytes()
                 if len(piece) <= LONGEST:
+                    if len(known) >= KEPT:
+                        known.clear()
                     known[piece] = ids
             return ids
 
         def encode_many(texts: list[str]) -> list[bytes]:
             out = []
             for text in texts:
-                if text.isprintable():
+                word = text[1:] if text[:1] == " " else text
+                if word.isalpha():  # one piece, and most chunks are such
+                    out.append(of_piece(text))
+                elif word[-1:] in MARKS and word[:-1].isalpha():
+                    out.append(of_piece(text[:-1]) + of_piece(word[-1]))
+                elif text.isprintable():
                     out.append(b"".join(map(of_piece, split(text))))
                 else:
-                    out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                    out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             return out
 
         _ENCODERS[key] = Chunked(encode_many)
