@@ -7,20 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, packing, quality, sharding, token_files
+from ..session import prepare
+from . import bpe, imatch, langid, minhash, packing, quality, sharding, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), 24)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored_digests(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end=0)
 
@@ -46,7 +51,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op10_imatch)}
+    return {f.__name__: f for f in (op1_sharding, op2_minhash, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
