@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import bpe, imatch, langid, minhash, packing, quality, sharding, token_files
+from . import bpe, imatch, langid, minhash, packing, quality, secret_scan, sharding, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -46,12 +46,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end=2, most=1024)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(_documents(spark, sf_dir))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_edits(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_minhash, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op10_imatch)}
+    return {f.__name__: f for f in (op1_sharding, op2_minhash, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op9_secret_scan, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
