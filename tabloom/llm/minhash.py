@@ -197,16 +197,8 @@ def class_components(rows: DataFrame, sets: DataFrame, members: DataFrame, perce
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per row: its id, n_shingles, component_id, kept.
-
-    Documents are linked if their sets' intersection is at least *percent*
-    hundredths of the union; component_id is the least id reachable, kept is
-    true for the row with that id. A document without words is linked with
-    nothing. Rows that repeat an id are that id's document each. Among null ids
-    nothing can be told apart: such a row is linked like any other, has the
-    least id of its component, or null, and is kept in that case.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Per row: key, text_hash, n_shingles, component_id."""
     rows = cut(signatures(docs, id_col, text_col))
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(
         F.min_by(F.struct("key", "text_hash"), F.struct("key", "text_hash")).alias("first"),
@@ -230,4 +222,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = of.join(lows, "comp").select(F.col("class").alias("of"), "component")
     out = rows.join(named, F.col("class") == F.col("of"), "left")
     component = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("key", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("key") == F.col("component_id"), F.col("component_id").isNull())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """Per row: its id, n_shingles, component_id, kept.
+
+    Documents are linked if their sets' intersection is at least *percent*
+    hundredths of the union; component_id is the least id reachable, kept is
+    true for the row with that id. A document without words is linked with
+    nothing. Rows that repeat an id are that id's document each. Among null ids
+    nothing can be told apart: such a row is linked like any other, has the
+    least id of its component, or null, and is kept in that case.
+    """
+    out = _labelled(docs, id_col, text_col, percent)
+    return out.select(F.col("key").alias(id_col), "n_shingles", "component_id", _kept().alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows whose document is the first of its group, with their columns."""
+    kept = _labelled(docs, id_col, text_col, percent).where(_kept()).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
+    same = F.col(id_col).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    return docs.join(kept, same, "left_semi")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import bpe, imatch, langid, minhash, packing, quality, secret_scan, sharding, token_files
+from . import bpe, imatch, langid, minhash, packing, quality, secret_scan, sharding, token_files, url_filter
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
 
+RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = prepare(spark).read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge_pages(pages, url_filter.parse_rules(RULES))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -55,7 +63,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_minhash, op3_token_files, op4_quality_rules, op5_byte_bpe, op7_language_id, op8_best_fit_packing, op9_secret_scan, op10_imatch)}
+    return {f.__name__: f for f in (op1_sharding, op2_minhash, op3_token_files, op4_quality_rules, op5_byte_bpe, op6_url_filter, op7_language_id, op8_best_fit_packing, op9_secret_scan, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:

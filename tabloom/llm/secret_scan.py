@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -287,7 +288,6 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """All rows with their columns; secrets in the text are masked, and *length_col*, where there is one, follows."""
-    import pandas as pd
 
     field = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
 
