@@ -81,6 +81,10 @@ def likeness(a: Column, b: Column) -> Column:
     return bind(said, lambda s: F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.aggregate(s, F.lit(0), lambda p, x: p + x) / F.size(s).cast("double")))
 
 
+def split_cells(fingerprint: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.substring(fingerprint, 4 * k + 1, F.lit(4)))
+
+
 def fingerprint(text: Column, bitmap: list[int]) -> Column:
     return F.array_join(cells(F.coalesce(text, F.lit("")), bitmap), "")
 
@@ -117,15 +121,24 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         cells(F.col("text"), bitmap).alias("own"),
         bind(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), cells(e, bitmap).alias("cells"))).alias("e"),
     )
-    flat = cut(made.select("id", "h", "p_id", "p_h", "n_chars", "own", F.array_join("e.cells", "").alias("edited_fingerprint"), F.col("e.sha").alias("edited_sha256"), likeness(F.col("own"), F.col("e.cells")).alias("near_edited")))
-    following = flat.groupBy("p_id", "p_h").agg(F.max("own").alias("next")).select(F.col("p_id").alias("n_id"), F.col("p_h").alias("n_h"), "next")
+    # Fingerprints are kept as strings: an array of short strings takes four times the room.
+    flat = cut(
+        made.select(
+            *("id", "h", "p_id", "p_h", "n_chars"),
+            F.array_join("own", "").alias("fingerprint"),
+            F.array_join("e.cells", "").alias("edited_fingerprint"),
+            F.col("e.sha").alias("edited_sha256"),
+            likeness(F.col("own"), F.col("e.cells")).alias("near_edited"),
+        )
+    )
+    following = flat.groupBy("p_id", "p_h").agg(F.max("fingerprint").alias("next")).select(F.col("p_id").alias("n_id"), F.col("p_h").alias("n_h"), "next")
     out = flat.join(following, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("h") == F.col("n_h")))
     return out.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
-        F.array_join("own", "").alias("fingerprint"),
+        "fingerprint",
         "edited_fingerprint",
         "near_edited",
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(split_cells(F.col("fingerprint")), split_cells(F.col("next"))).alias("near_next"),
     )
