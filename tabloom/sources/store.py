@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +84,14 @@ def write_table(df: DataFrame, path: str, compress: int = 0, keys: list[str] | N
         if k not in names:
             raise ColumnNotFound(k)
     head = {KEY: {"version": VERSION, "names": names, "keys": list(keys or [])}}
+    if _clashing(names):  # names that differ by case only are stored by position
+        plain = [f"c{i}" for i in range(len(names))]
+        fields = {p: f.metadata for p, f in zip(plain, df.schema.fields, strict=True)}
+        df = df.toDF(*plain)
+        df = df.select(*[F.col(p).alias(p, metadata=m) for p, m in fields.items()])
+        order = [plain[names.index(k)] for k in order] if order else None
     stored = with_ordinals(df, order=order).withMetadata(ROW, head)
-    # Names that differ only by case are kept apart by position.
-    stored.toDF(*[f"c{i}" for i in range(len(names))], ROW).write.mode(mode).options(**codec_options(compress)).parquet(path) if _clashing(names) else stored.write.mode(mode).options(**codec_options(compress)).parquet(path)
+    stored.write.mode(mode).options(**codec_options(compress)).parquet(path)
 
 
 def _clashing(names: list[str]) -> bool:
@@ -96,7 +102,7 @@ def _open(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
     """The raw rows and the head; None for a Parquet dataset that is not one of ours."""
     try:
         raw = spark.read.parquet(path)
-    except AnalysisException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise TableError(f"Unable to open table '{path}'.") from e
     head = raw.schema[ROW].metadata.get(KEY) if ROW in raw.columns else None
     if head and head["version"] > VERSION:
