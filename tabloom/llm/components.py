@@ -37,27 +37,29 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of these. Edges here have u > v."""
     lows = edges.groupBy("u").agg(F.min("v").alias("low"))
-    rest = _spread(edges, lows).where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return rest.unionByName(lows.select("u", F.col("low").alias("v")))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    linked = _spread(edges, lows)
+    both = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u").alias("u"), F.col("low").alias("v")))).alias("e")
+    return linked.select(both).select("e.u", "e.v")
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(vertex, component) for each vertex of *edges*; loops and repeated edges are fine, null ends are dropped."""
-    now = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    loops = now.where("a = b").select(F.col("a").alias("u"), F.col("a").alias("v"))
-    now = now.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, loops = cut(now), cut(loops.distinct())
-    mark = _mark(now)
-    while mark[0]:
-        step = _large_star(now).where("u != v").distinct()
-        now = cut(_small_star(step).where("u != v").distinct())
-        last, mark = mark, _mark(now)
-        if mark == last:
+    """(vertex, component) for each vertex of *edges*; loops and repeated edges are fine, null ends are dropped.
+
+    A step ends when no vertex is both linked to a smaller one and the target
+    of a link: then every link leads to the least vertex of its component.
+    """
+    given = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    now = cut(given.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    loops = now.where("u = v")
+    now = now.where("u != v")
+    while True:
+        # As parents (v), and as children (u) with the number of their parents.
+        ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")
+        seen = now.select(ends).groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if not seen.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count():
             break
+        step = _large_star(now).where("u != v")
+        now = cut(_small_star(step).where("u != v").distinct())
     vertices = now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).unionByName(loops.select(F.col("u").alias("vertex"), F.col("u").alias("component")))
+    roots = now.unionByName(loops).select(F.col("v").alias("vertex"), F.col("v").alias("component"))
     return vertices.unionByName(roots).groupBy("vertex").agg(F.min("component").alias("component"))

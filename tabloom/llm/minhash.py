@@ -38,7 +38,7 @@ SHINGLE = 5
 ROWS, BANDS = 5, 26
 SIZE = ROWS * BANDS
 #: Pivots of a bucket in a round, rounds with pivots, and the bucket that is small enough for all its pairs at once.
-PIVOTS, PIVOT_ROUNDS, SMALL = 3, 5, 6
+PIVOTS, PIVOT_ROUNDS, SMALL = 4, 3, 12
 #: Pairs that one copy of a pivot's set serves in the join that verifies them.
 PER_COPY = 200
 
@@ -150,50 +150,49 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. A hot *a* is split: its set is copied once for PER_COPY pairs."""
-    pairs = cut(pairs.distinct())
+    """The pairs (a, b, ...) whose full sets reach the threshold. A hot *a* is split: its set is copied once for PER_COPY pairs."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_COPY).cast("int").alias("copies"))
     left = copies.join(sets.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a")
     left = left.select("a", "a_set", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    dealt = pairs.join(copies, "a").select(*pairs.columns, F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
     right = dealt.join(sets.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
     whole = F.size("a_set") + F.size("b_set") - both
-    return right.join(left, ["a", "copy"]).where(100 * both >= percent * whole).select("a", "b")
+    return right.join(left, ["a", "copy"]).where(100 * both >= percent * whole).select(*pairs.columns)
 
 
-def class_components(rows: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(class, component) of the classes that have a verified link; component is a class of it."""
-    spark = rows.sparkSession
-    edges = spark.createDataFrame([], "a string, b string")
-    labels = spark.createDataFrame([], "vertex string, component string")
-    known = 0
+def class_components(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(class, component) of the classes in buckets of two and more; component is the least class linked to it.
+
+    *members* has (bucket, class, n). In each turn the links found are drawn
+    together into the components, so that later turns only see what is open.
+    """
+    labels = cut(members.select("class").distinct()).withColumn("comp", F.col("class"))
     for turn in range(PIVOT_ROUNDS + 1):
-        now = members.join(labels, F.col("class") == F.col("vertex"), "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("comp"))
         last = turn == PIVOT_ROUNDS
-        pivots = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "class").alias("h"), F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))).alias(f"p{k}") for k in range(PIVOTS)]
+        now = members.join(labels.select(F.col("class").alias("of"), "comp"), F.col("class") == F.col("of")).drop("of")
+        member = F.struct(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+        pivots = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "class").alias("h"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
         stats = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *pivots).where("low != high")
-        stats = cut(stats.select(F.col("bucket").alias("in"), "size", *[f"p{k}" for k in range(PIVOTS)]))
-        if stats.limit(1).count() == 0:
-            break
-        open_ = now.join(stats, F.col("bucket") == F.col("in"))
-        whole = F.lit(True) if last else F.col("size") <= SMALL
-        chosen = F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")
-        by_pivot = open_.where(~whole).select("class", "n", "comp", chosen).select(F.col("p.a").alias("a"), F.col("class").alias("b"), F.col("p.a_n").alias("a_n"), F.col("n").alias("b_n"), F.col("p.a_comp").alias("a_comp"), F.col("comp").alias("b_comp"))
-        rest = open_.where(whole).select("bucket", "class", "n", "comp")
-        other = rest.select("bucket", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        by_pair = other.join(rest, "bucket").where(F.col("a") < F.col("class")).select("a", F.col("class").alias("b"), "a_n", F.col("n").alias("b_n"), "a_comp", F.col("comp").alias("b_comp"))
-        pairs = by_pivot.unionByName(by_pair).where((F.col("a") != F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
-        edges = cut(edges.unionByName(_verify(pairs.select("a", "b"), sets, percent)).distinct())
-        found = edges.count()
-        if found > known:
-            labels = cut(components(edges, "a", "b"))
-            known = found
+        # The pivots of a large bucket; none for one whose pairs are all compared now.
+        chosen = F.when(F.lit(last) | (F.col("size") <= SMALL), F.lit(None)).otherwise(F.array_distinct(F.array(*[f"p{k}.m" for k in range(PIVOTS)])))
+        open_ = cut(now.join(stats.select(F.col("bucket").alias("in"), chosen.alias("pivots")), F.col("bucket") == F.col("in")).drop("in"))
+        by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode("pivots").alias("p")).select("p.*", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
+        rest = open_.where("pivots IS NULL").select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
+        other = rest.toDF("to", "a", "a_n", "a_comp")
+        by_pair = other.join(rest, F.col("to") == F.col("bucket")).where("a < b").select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
+        pairs = by_pivot.unionByName(by_pair).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
+        pairs = cut(pairs.select("a", "b", "a_comp", "b_comp").distinct())
+        if pairs.limit(1).count():
+            joined = components(_verify(pairs, sets, percent), "a_comp", "b_comp")
+            renamed = labels.join(joined, F.col("comp") == F.col("vertex"), "left")
+            labels = cut(renamed.select("class", F.coalesce("component", "comp").alias("comp")))
         if last:
             break
-        # What has been compared with all of its bucket leaves it; small buckets are done.
-        used = F.array_contains(F.array(*[f"p{k}.a" for k in range(PIVOTS)]), F.col("class"))
-        members = cut(open_.where(~whole & ~used).select("bucket", "class", "n"))
+        # What has been compared with all of its bucket leaves it; buckets compared in pairs are done.
+        members = open_.where("pivots IS NOT NULL").where(~F.exists("pivots", lambda p: p["a"] == F.col("class"))).select("bucket", "class", "n")
+        if not members.limit(1).count():
+            break
     return labels
 
 
@@ -214,10 +213,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("h")))
     sets = cut(found.dropDuplicates(["class"]).select("class", _set_of("text").alias("set")))
-    labels = class_components(rows, sets, members, percent)
+    labels = class_components(sets, members, percent).select(F.col("class").alias("vertex"), "comp")
     # Components of classes become those of documents: the least id of the whole.
-    of = classes.select("class", "least").join(labels, F.col("class") == F.col("vertex"), "left").select("class", "least", F.coalesce("component", "class").alias("comp"))
-    of = cut(of)
+    of = classes.select("class", "least").join(labels, F.col("class") == F.col("vertex"), "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
     lows = of.groupBy("comp").agg(F.min("least").alias("component"))
     named = of.join(lows, "comp").select(F.col("class").alias("of"), "component")
     out = rows.join(named, F.col("class") == F.col("of"), "left")
