@@ -109,7 +109,8 @@ def meaning(df: DataFrame, column: str) -> Column:
     if kind.endswith("date"):
         return F.date_from_unix_date(F.floor(c).cast("int"))
     if kind.endswith("of day"):
-        return F.timestamp_seconds(F.floor(c) % 86_400).cast("time(6)")
+        # As text: sessions may have the TIME type switched off, and Parquet cannot hold it.
+        return F.date_format(F.timestamp_seconds(F.pmod(F.floor(c), F.lit(86_400))).cast("timestamp_ntz"), "HH:mm:ss")
     if kind.endswith("timestamp"):
         return F.timestamp_micros(F.round(scaled * 1_000_000).cast("long"))
     if kind.endswith("interval"):
