@@ -123,16 +123,30 @@ def fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
     )
 
 
+def _fence(counts: dict[int, int], floor: int, reach: int) -> int:
+    """The fence of one sketch: counts by thousandths."""
+    size, upto, q = sum(counts.values()), 0, {}
+    for at in sorted(counts):
+        upto += counts[at]
+        for quarter in (1, 3):
+            if quarter not in q and 4 * upto >= quarter * size:
+                q[quarter] = at
+    return q.get(3, 0) + reach * max(q.get(3, 0) - q.get(1, 0), floor)
+
+
 def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", least: int = 50, reach: int = 4) -> DataFrame:
     """One row for each language and source: its fences, from the sketch of the smallest group that is large enough."""
     sketch = cut(sketches(measured, lang_col, source_col))
     names = [f"{s}_fence" for s in FLOORS]
     fine = fences(sketch, ["lang", "source"], reach)
     by_lang = fences(sketch, ["lang"], reach).select(F.col("lang").alias("l"), F.col("size").alias("l_size"), *[F.col(c).alias(f"l_{c}") for c in names])
-    whole = fences(sketch.withColumn("one", F.lit(1)), ["one"], reach).select(*[F.col(c).alias(f"w_{c}") for c in names])
-    # The last side is one row.
-    joined = fine.join(by_lang, fine["lang"].eqNullSafe(by_lang["l"]), "left").withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one", "left")
-    pick = [F.when(F.col("size") >= least, F.col(c)).when(F.col("l_size") >= least, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}")).alias(c) for c in names]
+    # The sketch of the whole table has a grid of counts for each share, so 4004 rows at most.
+    grid: dict[str, dict[int, int]] = {s: {} for s in FLOORS}
+    for r in sketch.groupBy("share", "at").agg(F.sum("n").alias("n")).collect():
+        grid[r["share"]][r["at"]] = r["n"]
+    whole = {f"{s}_fence": _fence(grid[s], floor, reach) for s, floor in FLOORS.items()}
+    joined = fine.join(by_lang, fine["lang"].eqNullSafe(by_lang["l"]), "left")
+    pick = [F.when(F.col("size") >= least, F.col(c)).when(F.col("l_size") >= least, F.col(f"l_{c}")).otherwise(F.lit(whole[c])).alias(c) for c in names]
     return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *pick)
 
 
