@@ -68,9 +68,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(NOT_SPACE + "+"), F.lit(0))
     solid = F.regexp_replace(text, SPACE + "+", "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE))
-    made = docs.select(
-        *[f"`{c}`" for c in kept],
-        bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("__w"),
+    counts = F.struct(
+        bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
         bind(
             solid,
             lambda s: F.struct(
@@ -78,20 +77,22 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 (F.length(s) - F.length(F.translate(s, SYMBOLS, ""))).cast("long").alias("n_symbols"),
                 (F.length(s) - F.length(F.translate(s, UPPER, ""))).cast("long").alias("n_upper"),
             ),
-        ).alias("__s"),
-        bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__l"),
+        ).alias("s"),
+        bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
     )
+    # Filters are not pushed below a generator; below a projection each of their columns would count the words anew.
+    made = docs.select(*[f"`{c}`" for c in kept], F.explode_outer(F.array(counts)).alias("__m"))
     return made.select(
         *[f"`{c}`" for c in kept],
-        F.col("__w.n_words").alias("n_words"),
-        F.col("__s.word_chars").alias("word_chars"),
-        F.col("__s.n_symbols").alias("n_symbols"),
-        F.col("__l.dup").alias("n_dup_lines"),
-        F.col("__w.n_repeat_words").alias("n_repeat_words"),
-        _thousandths(F.col("__s.n_symbols"), F.col("__s.word_chars")).alias("__symbols"),
-        _thousandths(F.col("__s.n_upper"), F.col("__s.word_chars")).alias("__upper"),
-        _thousandths(F.col("__l.dup"), F.col("__l.n")).alias("__dup_lines"),
-        _thousandths(F.col("__w.n_repeat_words"), F.col("__w.n_words")).alias("__repeats"),
+        F.col("__m.w.n_words").alias("n_words"),
+        F.col("__m.s.word_chars").alias("word_chars"),
+        F.col("__m.s.n_symbols").alias("n_symbols"),
+        F.col("__m.l.dup").alias("n_dup_lines"),
+        F.col("__m.w.n_repeat_words").alias("n_repeat_words"),
+        _thousandths(F.col("__m.s.n_symbols"), F.col("__m.s.word_chars")).alias("__symbols"),
+        _thousandths(F.col("__m.s.n_upper"), F.col("__m.s.word_chars")).alias("__upper"),
+        _thousandths(F.col("__m.l.dup"), F.col("__m.l.n")).alias("__dup_lines"),
+        _thousandths(F.col("__m.w.n_repeat_words"), F.col("__m.w.n_words")).alias("__repeats"),
     )
 
 
