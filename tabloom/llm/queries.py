@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import bpe, imatch, langid, minhash, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import bpe, imatch, langid, minhash, oracles, packing, quality, secret_scan, sharding, token_files, url_filter
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -67,4 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that rest on trained models, tokenizers or Spark's own hashes have no SQL; tests hold them by brute force."""
+    return {
+        "op1_sharding": oracles.sharding_sql(24),
+        "op2_minhash": oracles.near_duplicates_sql(85),
+        "op4_quality_rules": oracles.quality_sql(),
+        "op6_url_filter": oracles.url_sql(url_filter.parse_rules(RULES)),
+    }
