@@ -19,13 +19,27 @@ def _round(k: int, key: int, seed: int) -> str:
 
 def sharding_sql(n_shards: int, seed: int = 0) -> str:
     rounds = ", ".join(f"f{k + 1} AS ({_round(k, key, seed)})" for k, key in enumerate(sharding.KEYS))
+    # CRC32 of blocks of 256 bytes, the first one shorter; then the blocks' states are joined: a state is carried over
+    # 256 more bytes by a linear map, which has a table for each byte of the state.
+    step = "xor(c >> 8, t[(c & 255) + 1])"
+    carried = "xor(xor(m[(s & 255) + 1], m[((s >> 8) & 255) + 257]), xor(m[((s >> 16) & 255) + 513], m[((s >> 24) & 255) + 769]))"
     return f"""
 WITH RECURSIVE crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), map AS (
+  SELECT list(v ORDER BY p, b) AS m FROM (SELECT p, b, list_reduce(range(256), lambda c, k: {step}, b << (8 * p)) AS v FROM crc_table, range(4) x(p), range(256) y(b))
 ), docs AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS h, t FROM documents, crc_table
+  SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT rid, k, CASE WHEN k = 0 THEN h[1 : 2 * first] ELSE h[2 * first + 512 * (k - 1) + 1 : 2 * first + 512 * k] END AS h
+  FROM (SELECT rid, h, (n - 1) % 256 + 1 AS first, unnest(range((n + 255) // 256)) AS k FROM docs WHERE n > 0)
+), states AS (
+  SELECT rid, k, list_reduce(list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1 : i + 2] AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CASE WHEN k = 0 THEN CAST(4294967295 AS BIGINT) ELSE CAST(0 AS BIGINT) END) AS state
+  FROM blocks, crc_table
+), joined AS (
+  SELECT rid, xor(4294967295, list_reduce(l, lambda s, c: xor(c, {carried}))) AS crc FROM (SELECT rid, list(state ORDER BY k) AS l FROM states GROUP BY rid), map
 ), crcs AS (
-  SELECT doc_id, size, xor(4294967295, list_reduce(list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1 : i + 2] AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32 FROM docs
+  SELECT doc_id, n + 8 AS size, coalesce(crc, 0) AS text_crc32 FROM docs LEFT JOIN joined USING (rid)
 ), numbered AS (
   SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS id FROM crcs
 ), sizes AS (
