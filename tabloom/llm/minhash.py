@@ -13,8 +13,8 @@ coordinates put classes into buckets; 1 - (1 - 0.85 ** 5) ** 26 of the links
 at the threshold share one, all but 3 in 10 million. In a bucket not all pairs
 are formed: in each round a few random pivots are compared with the members
 that no verified link has joined to them yet, in full sets, and then leave the
-bucket. Buckets whose members are all joined are done; what is left after
-PIVOT_ROUNDS is compared pair by pair. So every pair of a bucket is either in one
+bucket. Buckets whose members are all joined are done; what is left after the
+last pivots is compared pair by pair, but for pairs inside a component. So every pair of a bucket is either in one
 component already or compared, and hot groups of copies take linear work.
 """
 
@@ -37,8 +37,9 @@ from .perfect_hash import mix
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 SIZE = ROWS * BANDS
-#: Pivots of a bucket in a round, rounds with pivots, and the bucket that is small enough for all its pairs at once.
-PIVOTS, PIVOT_ROUNDS, SMALL = 4, 3, 12
+#: Pivots of a bucket by turn, and the bucket that is small enough for all its pairs at once. Later turns only see the
+#: members outside the pivot's component, so that more pivots cost little.
+PIVOTS, SMALL = (1, 4, 8), 12
 #: Pairs that one copy of a pivot's set serves in the join that verifies them.
 PER_COPY = 200
 
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [
                         batch.column(0).slice(a, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         batch.column(2).slice(a, len(sets)),
                     ],
@@ -127,7 +128,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         [
             T.StructField("key", docs.schema[id_col].dataType),
             T.StructField("n_shingles", T.LongType()),
-            T.StructField("class", T.StringType()),
+            T.StructField("class", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("text_hash", T.LongType()),
         ]
@@ -161,27 +162,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return right.join(left, ["a", "copy"]).where(100 * both >= percent * whole).select(*pairs.columns)
 
 
-def class_components(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """All pairs of different components within buckets, each pair in the first bucket that both are in.
+
+    One of a pair is outside the bucket's largest component, so only such rows
+    stand on the left: a large component is never paired with itself.
+    """
+    sizes = rows.groupBy("bucket", "b_comp").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "b_comp"))["b_comp"].alias("main")).withColumnRenamed("bucket", "in")
+    full = rows.join(main, F.col("bucket") == F.col("in")).drop("in").join(bands.select(F.col("class").alias("of"), "bands"), F.col("b") == F.col("of")).drop("of")
+    left = full.where("b_comp != main").select(F.col("bucket").alias("to"), F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("b_comp").alias("a_comp"), F.col("bands").alias("a_bands"))
+    once = (F.col("b_comp") == F.col("main")) | (F.col("a") < F.col("b"))
+    first = F.get(F.array_intersect("a_bands", "bands"), F.lit(0)) == F.col("bucket")
+    return left.join(full, (F.col("to") == F.col("bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & first).select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
+
+
+def class_components(sets: DataFrame, members: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     """(class, component) of the classes in buckets of two and more; component is the least class linked to it.
 
-    *members* has (bucket, class, n). In each turn the links found are drawn
+    *members* has (bucket, class, n), *bands* all buckets of a class. In each turn the links found are drawn
     together into the components, so that later turns only see what is open.
     """
     labels = cut(members.select("class").distinct()).withColumn("comp", F.col("class"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        last = turn == PIVOT_ROUNDS
+    for turn in range(len(PIVOTS) + 1):
+        last = turn == len(PIVOTS)
         now = members.join(labels.select(F.col("class").alias("of"), "comp"), F.col("class") == F.col("of")).drop("of")
         member = F.struct(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        pivots = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "class").alias("h"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
+        names = [] if last else [f"p{k}" for k in range(PIVOTS[turn])]
+        pivots = [F.min(F.struct(F.xxhash64(F.lit(f"{turn} {p}"), "class").alias("h"), member.alias("m"))).alias(p) for p in names]
         stats = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *pivots).where("low != high")
         # The pivots of a large bucket; none for one whose pairs are all compared now.
-        chosen = F.when(F.lit(last) | (F.col("size") <= SMALL), F.lit(None)).otherwise(F.array_distinct(F.array(*[f"p{k}.m" for k in range(PIVOTS)])))
+        shape = "array<struct<a:binary,a_n:bigint,a_comp:binary>>"
+        chosen = F.lit(None).cast(shape) if last else F.when(F.col("size") > SMALL, F.array_distinct(F.array(*[f"{p}.m" for p in names])))
         open_ = cut(now.join(stats.select(F.col("bucket").alias("in"), chosen.alias("pivots")), F.col("bucket") == F.col("in")).drop("in"))
-        by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode("pivots").alias("p")).select("p.*", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
+        worth = F.filter("pivots", lambda p: (p["a_comp"] != F.col("comp")) & _sized(p["a_n"], F.col("n"), percent))
+        by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode(worth).alias("p")).select("p.*", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
         rest = open_.where("pivots IS NULL").select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        other = rest.toDF("to", "a", "a_n", "a_comp")
-        by_pair = other.join(rest, F.col("to") == F.col("bucket")).where("a < b").select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
-        pairs = by_pivot.unionByName(by_pair).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
+        pairs = by_pivot.unionByName(_open_pairs(rest, bands)).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
         pairs = cut(pairs.select("a", "b", "a_comp", "b_comp").distinct())
         if pairs.limit(1).count():
             joined = components(_verify(pairs, sets, percent), "a_comp", "b_comp")
@@ -213,7 +230,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("h")))
     sets = cut(found.dropDuplicates(["class"]).select("class", _set_of("text").alias("set")))
-    labels = class_components(sets, members, percent).select(F.col("class").alias("vertex"), "comp")
+    labels = class_components(sets, members, classes, percent).select(F.col("class").alias("vertex"), "comp")
     # Components of classes become those of documents: the least id of the whole.
     of = classes.select("class", "least").join(labels, F.col("class") == F.col("vertex"), "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
     lows = of.groupBy("comp").agg(F.min("least").alias("component"))
