@@ -11,8 +11,10 @@ and of the rows in them, and are found without skipping.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import xxhash
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,7 +85,8 @@ def write_table(df: DataFrame, path: str, compress: int = 0, keys: list[str] | N
     for k in keys or []:
         if k not in names:
             raise ColumnNotFound(k)
-    head = {KEY: {"version": VERSION, "names": names, "keys": list(keys or [])}}
+    head = {"version": VERSION, "names": names, "keys": list(keys or [])}
+    head = {KEY: head | {"hash": _head_hash(head)}}
     if _clashing(names):  # names that differ by case only are stored by position
         plain = [f"c{i}" for i in range(len(names))]
         fields = {p: f.metadata for p, f in zip(plain, df.schema.fields, strict=True)}
@@ -94,6 +97,11 @@ def write_table(df: DataFrame, path: str, compress: int = 0, keys: list[str] | N
     stored.write.mode(mode).options(**codec_options(compress)).parquet(path)
 
 
+def _head_hash(head: dict) -> str:
+    """Hash of a table's head, which a reader checks before it trusts names and keys."""
+    return xxhash.xxh64_hexdigest(json.dumps([head["version"], head["names"], head["keys"]]))
+
+
 def _clashing(names: list[str]) -> bool:
     return len({n.lower() for n in names}) != len(names)
 
@@ -107,6 +115,8 @@ def _open(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
     head = raw.schema[ROW].metadata.get(KEY) if ROW in raw.columns else None
     if head and head["version"] > VERSION:
         raise TableError(f"Table '{path}' has format version {head['version']}; this library reads up to {VERSION}.")
+    if head and head.get("hash") != _head_hash(head):
+        raise TableError(f"The head of table '{path}' is damaged.")
     return raw, head
 
 

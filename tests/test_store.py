@@ -118,6 +118,14 @@ def test_later_version(spark, tmp_path):
         store.read_table(spark, path)
 
 
+def test_damaged_head(spark, tmp_path):
+    path = f"file://{tmp_path}/damaged"
+    df = spark.range(1).withColumn(store.ROW, F.lit(0).cast("long")).withMetadata(store.ROW, {"tabloom": {"version": 1, "names": ["id", "x"], "keys": [], "hash": "0"}})
+    df.write.parquet(path)
+    with pytest.raises(TableError, match="damaged"):
+        store.table_meta(spark, path)
+
+
 def test_descriptions(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 1.5, 100, 3_600, 5), (None, None, None, None, None, None)], "d int, t int, x double, n long, o int, s int")
     df = describe(df, "d", Described(Attribute.INT_32_DATE_DAYS))
