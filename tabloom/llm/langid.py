@@ -13,7 +13,6 @@ texts of its length in that language have in a calibration part of the sample.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ ORDER = 4
 UND = "und"
 #: Log probability of a character that no model has seen, given the unigram back-off.
 UNSEEN = float(np.log(1 / 65_536))
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = np.full(ORDER - 1, 2, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,7 +179,7 @@ class Models:
         out: list[tuple[str, float, bool]] = [(UND, 0.0, True)] * len(texts)
         if not self.languages:
             return out
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         entropy, sizes = self.entropies([texts[i] for i in some])
         for i, row, n in zip(some, entropy, sizes, strict=True):
             best = int(row.argmin())
