@@ -15,8 +15,6 @@ from array import array
 
 import numpy as np
 
-#: White space other than lone spaces and line feeds between other characters.
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks kept per worker and kind, and the longest that is kept: bounds of memory, not of input.
 KEPT, LONGEST = 400_000, 64
@@ -24,12 +22,16 @@ MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def chunks(text: str) -> list[list[str]]:
-    """Lines of chunks. All but the first of a line begin with a space that is left off here; lines are joined by a line feed."""
-    if not text:
-        return []
-    if _ODD.search(text):
-        return [_LONE_SPACE.split(text)]
-    return [line.split(" ") for line in text.split("\n")]
+    """Lines of chunks, cut at every space and line feed. All but the first of a line had a space before them; lines are joined by a line feed.
+
+    Only right if all chunks are clean: see :func:`clean`.
+    """
+    return [line.split(" ") for line in text.split("\n")] if text else []
+
+
+def clean(chunk: str) -> bool:
+    """Whether a chunk is not empty and has no white space, so that only lone spaces and line feeds were cut at."""
+    return chunk.isalpha() or chunk.split() == [chunk]
 
 
 class Chunked:
@@ -42,12 +44,14 @@ class Chunked:
         (self.line_feed,) = encode_many(["\n"])
 
     def _learn(self, words: set[str], kept: dict, lead: str) -> dict:
-        """What each of *words* gives: *kept* itself, or with the long ones a copy for this call."""
+        """What each of *words* gives, None for those that are not clean: *kept* itself, or with long ones a copy for this call."""
         new = [w for w in words if w not in kept]
         if len(kept) + len(new) > KEPT:
             kept.clear()
             new = list(words)
-        made = dict(zip(new, self.encode_many([lead + w for w in new]), strict=True))
+        right = [w for w in new if clean(w)]
+        made = dict.fromkeys(new)
+        made.update(zip(right, self.encode_many([lead + w for w in right]), strict=True))
         kept.update((w, v) for w, v in made.items() if len(w) <= LONGEST)
         return kept if all(len(w) <= LONGEST for w in made) else {**{w: kept[w] for w in words if w in kept}, **made}
 
@@ -62,13 +66,16 @@ class Chunked:
                 rest.update(line[1:])
         bare, spaced = self._learn(first, self.bare, ""), self._learn(rest, self.spaced, " ")
         out = []
-        for lines in cut:
+        for text, lines in zip(texts, cut, strict=True):
             got: list = []
             for k, line in enumerate(lines):
                 if k:
                     got.append(self.line_feed)
                 got.append(bare[line[0]])
                 got.extend(map(spaced.__getitem__, line[1:]))
+            if None in got:  # other white space: cut at lone spaces only
+                words = _LONE_SPACE.split(text)
+                got = self.encode_many([words[0], *[" " + w for w in words[1:]]])
             out.append(got)
         return out
 
