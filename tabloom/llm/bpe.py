@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import Chunked, slices
+from .tokens import KEPT, LONGEST, Chunked, slices
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -42,32 +42,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
     while tree[1] < none:
         i = tree[1] & (size - 1)
         j = end[i]
         stop = end[i] = end[j]
-        put(j, none)
+        before, pair, lead = left[i], None, None
         if stop < n:
             left[stop] = i
-            r = get(piece[i : end[stop]])
-            put(i, none if r is None else r * size + i)
-        else:
-            put(i, none)
-        if left[i] >= 0:
-            r = get(piece[left[i] : stop])
-            put(left[i], none if r is None else r * size + left[i])
+            pair = get(piece[i : end[stop]])
+        if before >= 0:
+            lead = get(piece[before:stop])
+        for at, rank in ((j, None), (i, pair), (before, lead)):
+            if at < 0:
+                continue
+            k = size + at
+            tree[k] = none if rank is None else rank * size + at
+            k >>= 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                low = a if a < b else b
+                if tree[k] == low:
+                    break
+                tree[k] = low
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -86,20 +83,32 @@ class RankBPE:
         self.find = regex.compile(pattern).findall
         self.table = {v: k for k, v in self.ranks.items()}
         self.text = {v: str(v) for v in self.table}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.chunked = Chunked(self._encode_many)
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern; a whole match with a rank is one token, as the library has it."""
+        data = piece.encode("utf-8", "replace")
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return (whole,)
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = tuple(merge(data, self.ranks))
+            if len(piece) <= LONGEST:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
     def _encode_many(self, texts: list[str]) -> list[tuple[int, ...]]:
         out = []
         for text in texts:
-            ids: list[int] = []
-            for piece in self.find(text):
-                data = piece.encode("utf-8", "replace")
-                whole = self.ranks.get(data)
-                if whole is None:
-                    ids += merge(data, self.ranks)
-                else:
-                    ids.append(whole)
-            out.append(tuple(ids))
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha():  # one match, and most chunks are such
+                out.append(self._piece(text))
+            else:
+                out.append(tuple(chain.from_iterable(map(self._piece, self.find(text)))))
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
