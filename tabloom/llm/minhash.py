@@ -37,6 +37,8 @@ from .perfect_hash import mix
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 SIZE = ROWS * BANDS
+#: Parities kept of each set.
+BITS = 1024
 #: Pivots of a bucket by turn, and the bucket that is small enough for all its pairs at once. Later turns only see the
 #: members outside the pivot's component, so that more pivots cost little.
 PIVOTS, SMALL = (1, 4, 8), 12
@@ -93,8 +95,18 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(BANDS, dtype=np.uint64)[None, :], 7)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS parities of the set's elements, as 64-bit words.
+
+    Two bitmaps differ in no more bits than their sets differ in elements, so
+    |a and b| <= (|a| + |b| - differing bits) / 2: a bound that is exact.
+    """
+    odd = np.bincount((s >> _U(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: key, n_shingles, class (128-bit hash of the set; null if it is empty), bands."""
+    """Per row: key, n_shingles, class (128-bit hash of the set; null if it is empty), bands, bits, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +131,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                         batch.column(2).slice(a, len(sets)),
                     ],
-                    names=["key", "n_shingles", "class", "bands", "text_hash"],
+                    names=["key", "n_shingles", "class", "bands", "bits", "text_hash"],
                 )
 
     schema = T.StructType(
@@ -130,6 +143,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             T.StructField("n_shingles", T.LongType()),
             T.StructField("class", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("bits", T.ArrayType(T.LongType())),
             T.StructField("text_hash", T.LongType()),
         ]
     )
@@ -162,19 +176,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return right.join(left, ["a", "copy"]).where(100 * both >= percent * whole).select(*pairs.columns)
 
 
-def _open_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs of different components within buckets, each pair in the first bucket that both are in.
+def _open_pairs(rows: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components within buckets that may be linked, each pair in the first bucket that both are in.
+
+    Pairs whose bitmaps differ in too many bits cannot be linked and go here.
 
     One of a pair is outside the bucket's largest component, so only such rows
     stand on the left: a large component is never paired with itself.
     """
     sizes = rows.groupBy("bucket", "b_comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "b_comp"))["b_comp"].alias("main")).withColumnRenamed("bucket", "in")
-    full = rows.join(main, F.col("bucket") == F.col("in")).drop("in").join(bands.select(F.col("class").alias("of"), "bands"), F.col("b") == F.col("of")).drop("of")
-    left = full.where("b_comp != main").select(F.col("bucket").alias("to"), F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("b_comp").alias("a_comp"), F.col("bands").alias("a_bands"))
+    full = rows.join(main, F.col("bucket") == F.col("in")).drop("in").join(bands.select(F.col("class").alias("of"), "bands", "bits"), F.col("b") == F.col("of")).drop("of")
+    left = full.where("b_comp != main").select(F.col("bucket").alias("to"), F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("b_comp").alias("a_comp"), F.col("bands").alias("a_bands"), F.col("bits").alias("a_bits"))
     once = (F.col("b_comp") == F.col("main")) | (F.col("a") < F.col("b"))
     first = F.get(F.array_intersect("a_bands", "bands"), F.lit(0)) == F.col("bucket")
-    return left.join(full, (F.col("to") == F.col("bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & first).select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
+    differ = F.aggregate(F.zip_with("a_bits", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    whole = F.col("a_n") + F.col("b_n")
+    near = (100 + percent) * (whole - differ) >= 2 * percent * whole
+    return left.join(full, (F.col("to") == F.col("bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & _sized(F.col("a_n"), F.col("b_n"), percent) & near & first).select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
 
 
 def class_components(sets: DataFrame, members: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +217,7 @@ def class_components(sets: DataFrame, members: DataFrame, bands: DataFrame, perc
         worth = F.filter("pivots", lambda p: (p["a_comp"] != F.col("comp")) & _sized(p["a_n"], F.col("n"), percent))
         by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode(worth).alias("p")).select("p.*", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
         rest = open_.where("pivots IS NULL").select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        pairs = by_pivot.unionByName(_open_pairs(rest, bands)).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
+        pairs = by_pivot.unionByName(_open_pairs(rest, bands, percent)).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
         pairs = cut(pairs.select("a", "b", "a_comp", "b_comp").distinct())
         if pairs.limit(1).count():
             joined = components(_verify(pairs, sets, percent), "a_comp", "b_comp")
@@ -221,8 +240,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
         F.min("key").alias("least"),
         F.first("n_shingles").alias("n"),
         F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
-    classes = cut(classes.select("class", "least", "n", "bands", F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash")))
+    classes = cut(classes.select("class", "least", "n", "bands", "bits", F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash")))
     banded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("bucket").alias("in"))
     members = cut(banded.join(shared, F.col("bucket") == F.col("in")).select("bucket", "class", "n"))

@@ -260,3 +260,12 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in packed.collect()} == set(kept[-1])
     assert public_tokenizers.path("byte_bpe_50k.json")
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for size in (1, 20, 300, 5000):
+        both = rng.integers(0, 2**63, size, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (size // 7, size // 5))
+        differ = np.unpackbits(minhash.bitmap(a).view(np.uint8) ^ minhash.bitmap(b).view(np.uint8)).sum()
+        assert 2 * len(np.intersect1d(a, b)) <= len(a) + len(b) - int(differ)
