@@ -164,6 +164,12 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _may_link(n: Column, bits: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes and bitmaps can reach the threshold at all."""
+    differ = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    return _sized(n, m, percent) & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, ...) whose full sets reach the threshold. A hot *a* is split: its set is copied once for PER_COPY pairs."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_COPY).cast("int").alias("copies"))
@@ -186,14 +192,12 @@ def _open_pairs(rows: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     """
     sizes = rows.groupBy("bucket", "b_comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "b_comp"))["b_comp"].alias("main")).withColumnRenamed("bucket", "in")
-    full = rows.join(main, F.col("bucket") == F.col("in")).drop("in").join(bands.select(F.col("class").alias("of"), "bands", "bits"), F.col("b") == F.col("of")).drop("of")
+    full = rows.join(main, F.col("bucket") == F.col("in")).drop("in").join(bands.select(F.col("class").alias("of"), "bands"), F.col("b") == F.col("of")).drop("of")
     left = full.where("b_comp != main").select(F.col("bucket").alias("to"), F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("b_comp").alias("a_comp"), F.col("bands").alias("a_bands"), F.col("bits").alias("a_bits"))
     once = (F.col("b_comp") == F.col("main")) | (F.col("a") < F.col("b"))
     first = F.get(F.array_intersect("a_bands", "bands"), F.lit(0)) == F.col("bucket")
-    differ = F.aggregate(F.zip_with("a_bits", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    whole = F.col("a_n") + F.col("b_n")
-    near = (100 + percent) * (whole - differ) >= 2 * percent * whole
-    return left.join(full, (F.col("to") == F.col("bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & _sized(F.col("a_n"), F.col("b_n"), percent) & near & first).select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
+    near = _may_link(F.col("a_n"), F.col("a_bits"), F.col("b_n"), F.col("bits"), percent)
+    return left.join(full, (F.col("to") == F.col("bucket")) & (F.col("a_comp") != F.col("b_comp")) & once & near & first).select("a", "a_n", "a_comp", "b", "b_n", "b_comp")
 
 
 def class_components(sets: DataFrame, members: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
@@ -202,27 +206,27 @@ def class_components(sets: DataFrame, members: DataFrame, bands: DataFrame, perc
     *members* has (bucket, class, n), *bands* all buckets of a class. In each turn the links found are drawn
     together into the components, so that later turns only see what is open.
     """
-    labels = cut(members.select("class").distinct()).withColumn("comp", F.col("class"))
+    labels = cut(members.select("class").distinct().join(bands.select("class", "bits"), "class")).withColumn("comp", F.col("class"))
     for turn in range(len(PIVOTS) + 1):
         last = turn == len(PIVOTS)
-        now = members.join(labels.select(F.col("class").alias("of"), "comp"), F.col("class") == F.col("of")).drop("of")
-        member = F.struct(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+        now = members.join(labels.select(F.col("class").alias("of"), "comp", "bits"), F.col("class") == F.col("of")).drop("of")
+        member = F.struct(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("bits").alias("a_bits"))
         names = [] if last else [f"p{k}" for k in range(PIVOTS[turn])]
         pivots = [F.min(F.struct(F.xxhash64(F.lit(f"{turn} {p}"), "class").alias("h"), member.alias("m"))).alias(p) for p in names]
         stats = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *pivots).where("low != high")
         # The pivots of a large bucket; none for one whose pairs are all compared now.
-        shape = "array<struct<a:binary,a_n:bigint,a_comp:binary>>"
+        shape = "array<struct<a:binary,a_n:bigint,a_comp:binary,a_bits:array<bigint>>>"
         chosen = F.lit(None).cast(shape) if last else F.when(F.col("size") > SMALL, F.array_distinct(F.array(*[f"{p}.m" for p in names])))
         open_ = cut(now.join(stats.select(F.col("bucket").alias("in"), chosen.alias("pivots")), F.col("bucket") == F.col("in")).drop("in"))
-        worth = F.filter("pivots", lambda p: (p["a_comp"] != F.col("comp")) & _sized(p["a_n"], F.col("n"), percent))
-        by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode(worth).alias("p")).select("p.*", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        rest = open_.where("pivots IS NULL").select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        pairs = by_pivot.unionByName(_open_pairs(rest, bands, percent)).where((F.col("a_comp") != F.col("b_comp")) & _sized(F.col("a_n"), F.col("b_n"), percent))
+        worth = F.filter("pivots", lambda p: (p["a_comp"] != F.col("comp")) & _may_link(p["a_n"], p["a_bits"], F.col("n"), F.col("bits"), percent))
+        by_pivot = open_.where("pivots IS NOT NULL").select("class", "n", "comp", F.explode(worth).alias("p")).select("p.a", "p.a_n", "p.a_comp", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
+        rest = open_.where("pivots IS NULL").select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), "bits")
+        pairs = by_pivot.unionByName(_open_pairs(rest, bands, percent))
         pairs = cut(pairs.select("a", "b", "a_comp", "b_comp").distinct())
         if pairs.limit(1).count():
             joined = components(_verify(pairs, sets, percent), "a_comp", "b_comp")
             renamed = labels.join(joined, F.col("comp") == F.col("vertex"), "left")
-            labels = cut(renamed.select("class", F.coalesce("component", "comp").alias("comp")))
+            labels = cut(renamed.select("class", "bits", F.coalesce("component", "comp").alias("comp")))
         if last:
             break
         # What has been compared with all of its bucket leaves it; buckets compared in pairs are done.
