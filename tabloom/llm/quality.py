@@ -9,6 +9,11 @@ order of the rows. There is one sketch for each language and source; groups
 of fewer than ``least`` documents use the merged sketch of their language, and
 languages of fewer that of the whole table. A document passes if no share lies
 beyond its group's fence, q75 + reach * max(q75 - q25, the share's own floor).
+Where bad documents are over a quarter of a group, q75 is itself a bad value;
+so the fence is bounded by two that rest on what lies below the median and
+below q25. Neither binds where q75 - q25 is within the floor, nor where shares
+are spread evenly about the median; a group of which more than three quarters
+are bad sets its own norm.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Shares, and the least spread that a fence reckons with, in thousandths.
 FLOORS = {"__symbols": 25, "__upper": 50, "__dup_lines": 60, "__repeats": 50}
+#: Quantiles of a sketch, in twentieths.
+QUANTILES = {"q05": 1, "q25": 5, "q50": 10, "q75": 15}
 #: Tables of thresholds of so many groups at most are broadcast (100 bytes each); larger ones are joined by salted keys.
 BROADCAST_GROUPS, SALTS = 20_000, 32
 
@@ -113,14 +120,23 @@ def fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
     group = Window.partitionBy(*keys, "share")
     # At most 1001 rows in a window: the grid.
     ranked = merged.select(*keys, "share", "at", F.sum("n").over(group.orderBy("at")).alias("upto"), F.sum("n").over(group).alias("size"))
-    quartiles = ranked.groupBy(*keys, "share").agg(
+    quantiles = ranked.groupBy(*keys, "share").agg(
         F.max("size").alias("size"),
-        F.min(F.when(4 * F.col("upto") >= F.col("size"), F.col("at"))).alias("q25"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("size"), F.col("at"))).alias("q75"),
+        *[F.min(F.when(20 * F.col("upto") >= k * F.col("size"), F.col("at"))).alias(q) for q, k in QUANTILES.items()],
     )
-    return quartiles.groupBy(*keys).agg(
+    q05, q25, q50, q75 = map(F.col, QUANTILES)
+    return quantiles.groupBy(*keys).agg(
         F.max("size").alias("size"),
-        *[F.max(F.when(F.col("share") == s, F.col("q75") + reach * F.greatest(F.col("q75") - F.col("q25"), F.lit(floor)))).alias(f"{s}_fence") for s, floor in FLOORS.items()],
+        *[F.max(F.when(F.col("share") == s, _bounded(q05, q25, q50, q75, F.lit(floor), reach, F.least, F.greatest))).alias(f"{s}_fence") for s, floor in FLOORS.items()],
+    )
+
+
+def _bounded(q05, q25, q50, q75, floor, reach: int, least, greatest):
+    """The least of the fence and its two bounds; of columns or of numbers, by the functions given."""
+    return least(
+        q75 + reach * greatest(q75 - q25, floor),
+        q50 + (reach + 1) * greatest(2 * (q50 - q25), floor),
+        q25 + (reach + 1) * greatest(4 * (q25 - q05), floor),
     )
 
 
@@ -129,10 +145,10 @@ def _fence(counts: dict[int, int], floor: int, reach: int) -> int:
     size, upto, q = sum(counts.values()), 0, {}
     for at in sorted(counts):
         upto += counts[at]
-        for quarter in (1, 3):
-            if quarter not in q and 4 * upto >= quarter * size:
-                q[quarter] = at
-    return q.get(3, 0) + reach * max(q.get(3, 0) - q.get(1, 0), floor)
+        for name, k in QUANTILES.items():
+            if name not in q and 20 * upto >= k * size:
+                q[name] = at
+    return _bounded(*(q.get(name, 0) for name in QUANTILES), floor, reach, min, max)
 
 
 def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", least: int = 50, reach: int = 4) -> DataFrame:

@@ -91,6 +91,17 @@ def test_quality_fences(spark):
     assert limits["zz", "s"] == fence([x for _, _, x in shares], 25)
 
 
+@pytest.mark.parametrize("bad", [30, 60, 70])
+def test_quality_rule_of_a_bad_source_still_fires(spark, bad):
+    """A source of which over a quarter, or over half, is junk does not loosen its own fence; one that is evenly rich in symbols keeps its own."""
+    words = " ".join(f"plain{chr(97 + i)}{chr(97 + i * 7 % 26)}" for i in range(26))
+    rows = [(i, words + (" " + "#" * 98 if i < bad else ""), "en", "hot") for i in range(100)]
+    rows += [(1000 + i, words + " " + "#" * (60 + 7 * i % 60), "en", "code") for i in range(100)]
+    kept = {r.doc_id: r.kept for r in quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [kept[i] for i in range(100)] == [i >= bad for i in range(100)]
+    assert all(kept[1000 + i] for i in range(100))
+
+
 def test_quality_salted_join_is_the_broadcast_join(spark, odd, monkeypatch):
     want = sorted(map(repr, quality.judge_documents(odd).collect()))
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
