@@ -6,10 +6,12 @@ Terms are hashed to 2**BITS term numbers. The lexicon is the set of term
 numbers whose document frequency lies inside a band of shares of all
 documents; no more than (mean distinct terms a document) / (least share) can
 do so, however large the corpus, and as a bitmap it takes 2**BITS / 8 bytes
-always. A document's in-band terms are sorted, dealt into CELLS disjoint
-random subsets of the lexicon, and each subset is hashed. Two documents agree
-on a subset if they have the same of its terms, so the share of agreeing
-subsets is the likeness.
+always. A document's terms are sorted and dealt into CELLS disjoint random
+subsets, and each subset is hashed: its in-band terms, or all its terms where
+none is in band. This is settled subset by subset, so an edit changes the
+subsets of its own terms and no others, however many terms are in band. Two
+documents agree on a subset if they have the same of its terms, so the share
+of agreeing subsets is the likeness.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from .common import bind, cut, number_rows
 
 BITS = 21
 CELLS = 64
-#: A document with fewer in-band terms than this uses all of its terms.
-LEAST_TERMS = 16
 EMPTY = "...."
 
 
@@ -49,7 +49,7 @@ def lexicon(docs: DataFrame, text_col: str, least_share: float, most_share: floa
 
 
 def cells(text: Column, bitmap: list[int]) -> Column:
-    """The hashes of the CELLS subsets, 4 hex digits each; EMPTY for a subset of which the text has no term."""
+    """The hashes of the CELLS subsets, 4 hex digits each; EMPTY for a subset of which the text has no term, in band or not."""
     table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")  # folded to one constant
 
     def in_band(h: Column) -> Column:
@@ -59,17 +59,21 @@ def cells(text: Column, bitmap: list[int]) -> Column:
     def digit(s: Column) -> Column:
         return F.right(F.lower(F.hex(F.xxhash64(s))), F.lit(4))
 
-    def hashes(s: Column) -> Column:
+    def hashes(known: Column, others: Column) -> Column:
+        def of_cell(s: Column, k: int) -> Column:
+            return F.filter(s, lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(CELLS - 1)) == k)
+
         def cell(k: int) -> Column:
-            mine = F.filter(s, lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(CELLS - 1)) == k)
+            # The other terms are looked through only for a cell without an in-band one.
+            mine = bind(of_cell(known, k), lambda m: F.when(F.size(m) > 0, m).otherwise(of_cell(others, k)))
             return bind(mine, lambda m: F.when(F.size(m) == 0, F.lit(EMPTY)).otherwise(F.lpad(digit(m), 4, "0")))
 
         return F.array(*[cell(k) for k in range(CELLS)])
 
     def all_of(terms: Column) -> Column:
-        chosen = bind(F.filter(terms, in_band), lambda s: F.when(F.size(s) >= LEAST_TERMS, s).otherwise(terms))
+        known, others = F.sort_array(F.filter(terms, in_band)), F.sort_array(F.filter(terms, lambda h: ~in_band(h)))
         none = F.array_repeat(F.lpad(digit(text), 4, "0"), CELLS)
-        return F.when(F.size(terms) == 0, none).otherwise(bind(F.sort_array(chosen), hashes))
+        return F.when(F.size(terms) == 0, none).otherwise(bind(known, lambda s: bind(others, lambda t: hashes(s, t))))
 
     return bind(term_hashes(text), all_of)
 

@@ -140,6 +140,29 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert imatch.fingerprint_edits(none).count() == 0
 
 
+def test_fingerprints_do_not_switch_at_a_number_of_terms(spark):
+    """One term more or less changes one cell, with 15, 16 or no terms in band."""
+    inside, outside = [f"in{i}" for i in range(16)], [f"out{i}" for i in range(60)]
+    bitmap = [0] * ((1 << imatch.BITS) // 64)
+    for r in spark.createDataFrame([(w,) for w in inside], "w string").select(F.xxhash64("w").alias("h")).collect():
+        t = r.h & ((1 << imatch.BITS) - 1)
+        bitmap[t >> 6] |= (1 << (t & 63)) - ((1 << 64) if t & 63 == 63 else 0)
+    texts = [" ".join(inside[:n] + outside) for n in range(17)] + [" ".join(outside[1:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", imatch.cells(F.col("t"), bitmap).alias("c")).collect()
+    cells = {r.k: r.c for r in rows}
+    for a, b in [(n, n + 1) for n in range(16)] + [(0, 17)]:
+        assert sum(x != y for x, y in zip(cells[a], cells[b], strict=True)) == 1
+
+
+def test_fingerprints_of_a_hot_text(spark):
+    """A text that a third of the rows hold has no term in band; its copy with the last quarter replaced stays like it."""
+    hot = " ".join(f"hot{i}" for i in range(80))
+    rows = [(i, hot if i % 3 == 0 else " ".join(f"w{(i * 37 + k * k) % 400}" for k in range(80))) for i in range(300)]
+    got = imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = [r.near_edited for r in got if r.doc_id % 3 == 0]
+    assert len(near) == 100 and min(near) > 0.15 and sum(near) > 25
+
+
 def test_lexicon_is_the_band(spark):
     rows = [(i, "common " + ("half " if i % 2 else "") + f"own{i}") for i in range(100)]
     docs = spark.createDataFrame(rows, "id long, text string")
