@@ -197,20 +197,28 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> Models:
     """Fit the models on about *per_language* documents of each language, whole, and calibrate on a fifth as many others.
 
-    The sample is bounded by that parameter: a row is in it if a hash of its
-    text falls below per_language / rows of its language.
+    The sample is bounded by that parameter: a text is in it if a hash of it
+    falls below per_language / different texts of its language, so copies don't
+    use up the rate. The text of least hash is always learned from, so every
+    language with a labelled text has a model.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))
     )
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    # Equal texts are drawn together and counted once, or a group of copies would be learned by heart.
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1_000_000))
+    drawn = labelled.select("lang", "text", draw.alias("draw"))
+    # Narrow rows: a language, a hash and the draw for each different text.
+    texts = drawn.select("lang", F.xxhash64("text").alias("h"), "draw").distinct()
+    sizes = {r["lang"]: (r["n"], r["low"]) for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("low")).collect()}  # a row a language
     if not sizes:
         return Models({})
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 1.2 * per_language / v))])
-    # Equal texts are drawn together and counted once, or a group of copies would be learned by heart.
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1_000_000)) / 1_000_000.0
-    sample = labelled.withColumn("draw", draw / F.element_at(share, F.col("lang"))).where("draw < 1").select("lang", "text", (F.col("draw") > 1 / 1.2).alias("check")).distinct()
+    share = F.create_map(*[F.lit(x) for k, (n, _) in sizes.items() for x in (k, min(1.0, 1.2 * per_language / n))])
+    low = F.create_map(*[F.lit(x) for k, (_, least) in sizes.items() for x in (k, least)])
+    first = F.col("draw") == F.element_at(low, F.col("lang"))
+    part = F.col("draw") / 1_000_000.0 / F.element_at(share, F.col("lang"))
+    sample = drawn.where((part < 1) | first).select("lang", "text", ((part > 1 / 1.2) & ~first).alias("check")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,6 +118,23 @@ def test_language_never_sees_held_out_rows(spark):
     assert a == b
 
 
+def test_copies_do_not_use_up_the_sample(spark):
+    """A language made mostly of copies is learned from as many different texts as one without."""
+    own = [f"zq{i} uv{i * i} wy{i * 7 % 31} qqv" for i in range(40)]
+    rows = [(own[0], "hot")] * 3000 + [(t, "hot") for t in own] + [(f"the river stone {k} lies near mill {k * k}", "even") for k in range(40)]
+    docs = spark.createDataFrame([(None, *r) for r in rows], "doc_id long, text string, lang string")
+    models = langid.train(docs, per_language=100)
+    assert models.languages == ["even", "hot"]
+    # What a text's own model has seen is far less odd to it than what it has not.
+    entropy, _ = models.entropies(own)
+    assert (entropy.argmin(axis=1) == 1).all() and (entropy[:, 1] < 1.5).sum() >= 25
+
+
+def test_language_of_one_text_is_learned(spark):
+    docs = spark.createDataFrame([(None, f"only text {k} of its kind", f"l{k:02}") for k in range(40)], "doc_id long, text string, lang string")
+    assert langid.train(docs).languages == [f"l{k:02}" for k in range(40)]
+
+
 def test_language_of_odd_rows(spark, odd, none):
     rows = langid.identify(odd).collect()
     got = {r.doc_id: r for r in rows}
