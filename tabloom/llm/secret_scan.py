@@ -3,8 +3,9 @@
 Tokens are words. A word without a digit, without one of ``_ + / =`` and
 without a run of sixteen letters and digits is plain, and plain words are
 outside by definition; so the chains to decode are the runs of other words,
-with features of their shape, of the words around them and of the file. The
-field is trained on a bounded sample of the documents, labelled by the fixed
+with features of their shape, of the words around them and of the file. A word
+is cut where a span of the fixed patterns begins or ends in it, so the field
+judges what such a span leaves of the word by itself. The field is trained on a bounded sample of the documents, labelled by the fixed
 patterns, with generated secrets of other shapes put into it.
 """
 
@@ -38,8 +39,6 @@ _EDGES = "\"'`()[]{}<>,;:!?."
 _CUES = ("password", "passwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pass", "private", "access")
 #: Words of a chain decoded at once; longer runs are cut here, which bounds memory.
 LONGEST_CHAIN = 2_000
-#: A span of the field has this many characters at least.
-LEAST_CHARS = 16
 Span = tuple[int, int, str]
 
 
@@ -131,11 +130,27 @@ def file_features(n_words: int, n_odd: int) -> list[float]:
     return [min(1.0, n_odd / max(n_words, 1)), float(n_words < 50)]
 
 
-def chains(text: str) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
-    """Runs of words that are not plain: their places, and their features."""
+def _cut(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of words, cut where a span begins or ends inside one."""
+    edges, out, k = sorted({x for s in spans for x in s}), [], 0
+    for a, b in places:
+        while k < len(edges) and edges[k] <= a:
+            k += 1
+        while k < len(edges) and edges[k] < b:
+            out.append((a, edges[k]))
+            a = edges[k]
+            k += 1
+        out.append((a, b))
+    return out
+
+
+def chains(text: str, spans: list[tuple[int, int]] | None = None) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+    """Runs of words that are not plain, cut at the *spans* of the fixed patterns: their places, and their features."""
     if not _SIGN.search(text):
         return
     places = [m.span() for m in _WORD.finditer(text)]
+    if spans:
+        places = _cut(places, spans)
     words = [text[a:b] for a, b in places]
     odd = [i for i, w in enumerate(words) if not plain(w)]
     file = file_features(len(words), len(odd))
@@ -169,6 +184,9 @@ def _generated(rng: random.Random) -> tuple[str, bool]:
     def draw(letters: str, low: int, high: int) -> str:
         return "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
 
+    def assigned() -> str:
+        return rng.choice(("password", "passwd", "secret", "token", "api_key")) + rng.choice(("=", ":", '="', "='")) + draw(_MIXED, 6, 20)
+
     makers = [
         (lambda: draw(_MIXED, 20, 64), True),
         (lambda: draw(_MIXED + "+/", 24, 64) + rng.choice(("", "=", "==")), True),
@@ -177,6 +195,9 @@ def _generated(rng: random.Random) -> tuple[str, bool]:
         (lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + draw(_MIXED, 20, 40), True),
         (lambda: "eyJ" + draw(_MIXED, 12, 30) + "." + draw(_MIXED, 20, 60) + "." + draw(_MIXED + "-_", 20, 43), True),
         (lambda: "AKIA" + draw(_MIXED[:26] + _DIGITS, 16, 16), True),
+        # Secrets of which the assignment pattern takes the first part only, and whole ones with something else behind.
+        (lambda: assigned() + rng.choice("!$%&*#@~^?") + draw(_MIXED + "!$%&*#@~^", 6, 24), True),
+        (lambda: assigned() + rng.choice(("&", ";", ",", '","')) + draw(_MIXED[26:52], 3, 8) + rng.choice(("=", ":", '":"')) + draw(_MIXED[26:52] + _DIGITS, 1, 8), False),
         (lambda: draw(_DIGITS, 3, 20), False),
         (lambda: draw(_MIXED[26:52], 4, 9) + "." + draw(_DIGITS, 2, 2) + "@mail" + draw(_DIGITS, 1, 1) + ".example.com", False),
         (lambda: "https://" + draw(_MIXED[26:52], 4, 10) + ".example.com/" + draw(_MIXED[26:52] + "/-", 4, 30), False),
@@ -188,12 +209,20 @@ def _generated(rng: random.Random) -> tuple[str, bool]:
     return make(), secret
 
 
+def _short(rng: random.Random) -> str:
+    """A secret of 6 to 15 characters: letters of both cases, digits, sometimes marks."""
+    letters = _MIXED + rng.choice(("", "!$%&*#@~^"))
+    word = [rng.choice(x) for x in (_MIXED[:26], _MIXED[26:52], _DIGITS, _DIGITS)] + [rng.choice(letters) for _ in range(rng.randint(2, 11))]
+    rng.shuffle(word)
+    return "".join(word)
+
+
 def examples(texts: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Chains with states: of the texts as the patterns label them, and of words generated into them."""
     rng, out = random.Random(seed), []
     for text in texts:
         spans = [(a, b) for a, b, _ in base_spans(text)]
-        for places, x in chains(text):
+        for places, x in chains(text, spans):
             out.append((x[:50], labels(places, spans)[:50]))
     stock = [t.split()[:400] for t in texts if t] or [["text"]]
     for k in range(1500):
@@ -201,12 +230,16 @@ def examples(texts: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarr
         at = rng.randint(0, len(words))
         word, secret = _generated(rng)
         lead = rng.choice(([], [], ["key:"], ["Bearer"], ["secret", "="], ["id"]))
+        if k % 6 == 0:  # a short secret, known by its shape and what stands before it
+            word, secret = _short(rng), True
+            lead = rng.choice((["key:"], ["Bearer"], ["login"], ["pass"], ["credential", "is"], ["private", "key:"]))
         quote = rng.choice(("", "", '"', "'"))
         made = [*words[max(0, at - 6) : at], *lead, quote + word + quote, *words[at : at + 6]]
         text = " ".join(made)
         start = len(" ".join(made[: len(words[max(0, at - 6) : at]) + len(lead)]))
-        spans = [(a, b) for a, b, _ in base_spans(text)] + ([(start, start + len(word) + 1)] if secret else [])
-        for places, x in chains(text):
+        base = [(a, b) for a, b, _ in base_spans(text)]
+        spans = base + ([(start, start + len(word) + 1)] if secret else [])
+        for places, x in chains(text, base):
             out.append((x, labels(places, spans)))
     return out
 
@@ -221,24 +254,26 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 600) -> CRF:
 
 
 def field_spans(text: str, field: CRF, base: list[Span]) -> list[Span]:
-    """What the field tags, trimmed of marks at its edges, where no base span is."""
+    """What the field tags outside the base spans, trimmed of marks at its edges."""
     out: list[Span] = []
-    for places, x in chains(text):
+    spans = sorted((a, b) for a, b, _ in base)
+    starts = [a for a, _ in spans]
+    reach = np.maximum.accumulate([-1, *[b for _, b in spans]])
+    for places, x in chains(text, spans):
         if not (x @ field.weights[:, BEGIN] + field.start[BEGIN] > -50).any():
             continue
-        states = field.viterbi(x)
-        i = 0
-        while i < len(states):
-            if states[i] == BEGIN:
-                j = i + 1
-                while j < len(states) and states[j] == INSIDE:
-                    j += 1
-                start, end = _trim(text, places[i][0], places[j - 1][1])
-                if end - start >= LEAST_CHARS and not any(a < end and b > start for a, b, _ in base):
+        # Words are cut at the spans, so those that start inside one lie inside it.
+        at = np.searchsorted(starts, [a for a, _ in places], side="right")
+        covered = reach[at] > [a for a, _ in places]
+        run: list[tuple[int, int]] = []
+        for state, place, hidden in [*zip(field.viterbi(x), places, covered, strict=True), (BEGIN, (0, 0), True)]:
+            if run and (state != INSIDE or hidden):
+                start, end = _trim(text, run[0][0], run[-1][1])
+                if start < end:
                     out.append((start, end, "crf"))
-                i = j
-            else:
-                i += 1
+                run = []
+            if state != OUT and not hidden:
+                run.append(place)
     return out
 
 

@@ -221,6 +221,25 @@ def test_field_finds_other_shapes(spark, sf):
         assert secret_scan.scan(clean, field)[1] == []
 
 
+def test_field_goes_on_where_patterns_stop(spark, sf):
+    """The rest of a secret behind a fixed pattern, a second one in the same run, and short ones are found; what else stands behind is not."""
+    field = secret_scan.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    prose = "and the thing was in order there for all to see on that day"
+
+    def masked(text):
+        return secret_scan.mask(text, secret_scan.scan(text, field)[1])
+
+    rest = masked(f'{prose} password="Abc123!x9$Kq7Lm2Pz4Rt" {prose}')
+    assert "Kq7Lm2Pz4Rt" not in rest and rest.count(prose) == 2
+    second = "".join(random.Random(4).choice(secret_scan._MIXED) for _ in range(32))
+    assert second not in masked(f"{prose} token=abcdef123456 {second} {prose}")
+    rng = random.Random(5)
+    words = [secret_scan._short(rng) for _ in range(40)]
+    assert sum(w not in masked(f"{prose} key: {w} {prose}") for w in words) >= 36
+    for tail in ("&user=bob7", ";next=hello"):
+        assert masked(f"{prose} token=abcdef123456{tail} {prose}") == f"{prose} [secret]{tail} {prose}"
+
+
 def test_secrets_of_odd_rows(spark, odd, none):
     rows = secret_scan.scan_documents(odd).collect()
     assert len(rows) == odd.count()
