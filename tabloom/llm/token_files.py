@@ -158,7 +158,8 @@ def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int =
 def read_shards(spark, uri: str, manifest: list[dict], id_col: str = "doc_id") -> DataFrame:
     """Per document: its id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit bytes).
 
-    Documents with a key are found by it through the index, others by place.
+    The first document of each key is found by it through the index, which must
+    know it (KeyError); those that repeat a key, or have none, are read by place.
     """
     total, rows = 0, []
     for m in manifest:
@@ -170,19 +171,20 @@ def read_shards(spark, uri: str, manifest: list[dict], id_col: str = "doc_id") -
             for row in batch.to_pylist():
                 shard = ShardReader(uri, row["name"])
                 places = np.arange(len(shard.keys))
-                found = shard.find(shard.keys)
-                first = shard.known & (found >= 0)
-                # Rows that repeat a key, or have none, are read by their place.
-                same = first & (found == places)
-                places = np.where(same, found, places)
+                keyed = np.flatnonzero(shard.known)
+                distinct, first = np.unique(shard.keys[keyed], return_index=True)
+                found = shard.find(distinct)
+                if (found < 0).any():
+                    raise KeyError(f"{row['name']}: the index does not know {int(distinct[found < 0][0])}")
+                places[keyed[first]] = found
                 begin = 0
                 while begin < len(places):
                     end = int(np.searchsorted(shard.offsets, shard.offsets[begin] + 2_000_000, "right")) - 1
                     end = min(max(end, begin + 1), len(places))
-                    some = [int(p) for p in places[begin:end]]
+                    asked, some = range(begin, end), [int(p) for p in places[begin:end]]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([int(shard.keys[p]) if shard.known[p] else None for p in some], pa.int64()),
+                            pa.array([int(shard.keys[i]) if shard.known[i] else None for i in asked], pa.int64()),
                             pa.array([row["base"] + int(shard.offsets[p]) for p in some], pa.int64()),
                             pa.array([int(shard.offsets[p + 1] - shard.offsets[p]) for p in some], pa.int64()),
                             pa.array([shard.at(p).tobytes() for p in some], pa.binary()),

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -117,6 +118,26 @@ def test_keyed_access(spark, odd, library):
     assert seen == {k: [*library(t), 0] for k, t in texts.items() if k is not None}
 
 
+@pytest.mark.parametrize("part", ["marks", "places"])
+def test_rows_are_read_through_the_index(spark, odd, part):
+    """An index that has lost its keys is an error, whether its fingerprints or its places are wrong."""
+    uri, manifest = token_files.write_shards(odd, BYTE)
+    store, root = token_files._store(uri)
+    for m in manifest:
+        with store.open_input_file(f"{root}/{m['name']}.idx") as f:
+            data = bytearray(f.read())
+        n = int.from_bytes(data[:8], "little")
+        sizes = json.loads(data[8 : 8 + n])["parts"]
+        k = {"marks": 3, "places": 4}[part]
+        at = 8 + n + sum(sizes[:k])
+        whole = np.frombuffer(bytes(data[at : at + sizes[k]]), "<u4" if part == "marks" else "<i8")
+        data[at : at + sizes[k]] = (whole ^ 1 if part == "marks" else whole * 0).astype(whole.dtype).tobytes()
+        with store.open_output_stream(f"{root}/{m['name']}.idx") as f:
+            f.write(bytes(data))
+    with pytest.raises(Exception, match="the index does not know"):
+        token_files.read_shards(spark, uri, manifest).collect()
+
+
 def test_query_files(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, queries.op3_token_files(spark, sf).collect())) == brute_files([tuple(r) for r in docs], library)
