@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import KEPT, LONGEST, Chunked, slices
+from .tokens import KEPT, LONGEST, PATTERN, Chunked
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -73,22 +75,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class RankBPE:
-    """A vocabulary of ranks with its split pattern."""
+    """A vocabulary of ranks with its split pattern.
+
+    A chunk gives three results: its ids as bytes, its ids in decimal each
+    followed by a comma, and the bytes decoded from its ids.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
+        if pattern != PATTERN:
+            raise ValueError("texts can only be cut into chunks for the byte-level split pattern")
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
         self.table = {v: k for k, v in self.ranks.items()}
-        self.text = {v: str(v) for v in self.table}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.chunked = Chunked(self._encode_many)
+        self.chunked = Chunked(self._encode, 3)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern; a whole match with a rank is one token, as the library has it."""
-        data = piece.encode("utf-8", "replace")
+        data = piece.encode()
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
@@ -101,26 +108,19 @@ class RankBPE:
                 self.known[piece] = ids
         return ids
 
-    def _encode_many(self, texts: list[str]) -> list[tuple[int, ...]]:
-        out = []
-        for text in texts:
-            word = text[1:] if text[:1] == " " else text
-            if word.isalpha():  # one match, and most chunks are such
-                out.append(self._piece(text))
-            else:
-                out.append(tuple(chain.from_iterable(map(self._piece, self.find(text)))))
-        return out
+    def _encode(self, text: str) -> tuple[bytes, bytes, bytes]:
+        word = text[1:] if text[:1] == " " else text
+        # Most chunks are one match.
+        ids = self._piece(text) if word.isalpha() else list(chain.from_iterable(map(self._piece, self.find(text))))
+        return array("I", ids).tobytes(), "".join([f"{i}," for i in ids]).encode(), self.decode(ids)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts; a null text has none."""
-        return [list(chain.from_iterable(p)) for p in self.chunked.parts([t or "" for t in texts])]
+        return [np.frombuffer(p, "<u4").tolist() for p in self.chunked.batch(texts)[0]]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
-    def line(self, ids: list[int]) -> str:
-        return ",".join(map(self.text.__getitem__, ids))
-
 
 _LOADED: dict[tuple[str, str], RankBPE] = {}
 
@@ -137,9 +137,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(bpe.encode(texts[a:b]), pa.list_(pa.int32()))], names=[id_col, "ids"])
+            for a, b, (ids, _, _) in bpe.chunked.column(batch.column(1)):
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
@@ -168,15 +169,13 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(path, pattern), hashlib.sha256
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids = bpe.encode(texts[a:b])
+            for a, b, (ids, lines, decoded) in bpe.chunked.column(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(a, b - a),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([sha(bpe.line(x).encode()).hexdigest() for x in ids]),
-                        pa.array([sha(bpe.decode(x)).hexdigest() for x in ids]),
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([sha(x[:-1]).hexdigest() for x in lines]),  # without the last comma
+                        pa.array([sha(x).hexdigest() for x in decoded]),
                     ],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

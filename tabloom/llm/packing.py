@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .tokens import encode_texts, slices
+from .tokens import encode_column
 
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:
@@ -99,10 +99,10 @@ def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in encode_column(path, batch.column(1), end):
                 rows = []
-                for key, ids in zip(keys[a:b], encode_texts(path, texts[a:b], end), strict=True):
+                for key, ids in zip(keys[a:b], texts, strict=True):
                     for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
                         rows.append((key, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                         seen[length] += 1

@@ -6,7 +6,10 @@ after another, little-endian, 2 bytes each where the vocabulary allows, else
 of all documents, and the keyed index: a minimal perfect hash over the
 document keys, and by its slots a stored 32-bit fingerprint and the document's
 place. A key that was never stored fails its fingerprint, but for a chance of
-2**-32, and then the stored key itself.
+2**-32, and then the stored key itself. The manifest has the least and the
+greatest key of each shard, so a key leads to its shard; there the perfect
+hash, a few bits a key, is read once, and each access reads one entry of each
+table and the ids by their offsets.
 
 Attempts write under names of their own and report them only when complete;
 the manifest lists the files that count. A task that is run again after an
@@ -15,9 +18,9 @@ executor was lost leaves at most a file that no manifest names.
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_parts, new_dir
+from .common import cut, n_parts, new_dir
 from .perfect_hash import PerfectHash, fingerprints
-from .tokens import encode_texts, slices
+from .tokens import encode_column, vocabulary_size
 
-_MANIFEST = "shard long, name string, docs long, ids long"
+_MANIFEST = "shard long, name string, docs long, ids long, low long, high long"
+_PARTS = ("keys", "known", "offsets", "marks", "places", "hash")
 
 
 def _store(uri: str):
@@ -51,10 +55,10 @@ class ShardWriter:
         self.out = self.store.open_output_stream(f"{self.path}/{name}.ids")
 
     def add(self, key: int | None, ids: bytes) -> None:
-        n = len(ids) // 4
-        self.out.write(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+        """*ids* have the shard's width already."""
+        self.out.write(ids)
         self.keys.append(key)
-        self.counts.append(n)
+        self.counts.append(len(ids) // self.width)
 
     def close(self) -> None:
         """Write the index. A key that repeats is found at its first document; null keys are only in the order of the file."""
@@ -79,77 +83,133 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Documents of a shard by key, in constant time, or by place."""
+    """Documents of a shard by key, in constant time, or by place.
+
+    Opening reads the header and the perfect hash; the tables by document are
+    read entry by entry, or whole the first time that many are asked for.
+    """
 
     def __init__(self, uri: str, name: str):
         self.store, path = _store(uri)
-        with self.store.open_input_file(f"{path}/{name}.idx") as f:
-            data = f.read()
-        n = int.from_bytes(data[:8], "little")
-        self.head = json.loads(data[8 : 8 + n])
-        at, parts = 8 + n, []
-        for size in self.head["parts"]:
-            parts.append(data[at : at + size])
-            at += size
-        docs = self.head["docs"]
-        self.keys = np.frombuffer(parts[0], "<i8")
-        self.known = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=docs).astype(bool)
-        self.offsets = np.frombuffer(parts[2], "<i8")
-        self.marks, self.places = np.frombuffer(parts[3], "<u4"), np.frombuffer(parts[4], "<i8")
-        self.mph = PerfectHash.from_bytes(parts[5])
+        self.index = self.store.open_input_file(f"{path}/{name}.idx")
+        n = int.from_bytes(self.index.read_at(8, 0), "little")
+        self.head = json.loads(self.index.read_at(n, 8))
+        begins = np.concatenate([[8 + n], 8 + n + np.cumsum(self.head["parts"])])
+        self.part = {p: (int(begins[i]), int(self.head["parts"][i])) for i, p in enumerate(_PARTS)}
+        self.mph = PerfectHash.from_bytes(self._bytes("hash"))
         self.ids = self.store.open_input_file(f"{path}/{name}.ids")
+        self.whole: dict[str, np.ndarray] = {}
+
+    def _bytes(self, part: str) -> bytes:
+        begin, size = self.part[part]
+        return self.index.read_at(size, begin)
+
+    def _table(self, part: str, kind: str) -> np.ndarray:
+        if part not in self.whole:
+            self.whole[part] = np.frombuffer(self._bytes(part), kind)
+        return self.whole[part]
+
+    def _entries(self, part: str, kind: str, at: int, n: int = 1) -> np.ndarray:
+        """Entries at .. at + n of a table, without the rest of it."""
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self.index.read_at(n * size, self.part[part][0] + at * size), kind)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self._table("keys", "<i8")
+
+    @property
+    def known(self) -> np.ndarray:
+        return np.unpackbits(self._table("known", "u1"), count=self.head["docs"]).astype(bool)
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self._table("offsets", "<i8")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of *keys*; -1 for a key that is not stored."""
+        """Places of many *keys*; -1 for a key that is not stored."""
         keys = np.asarray(keys, dtype="<i8")
         slot = self.mph.slots(keys.view("<u8"))
         out = np.full(len(keys), -1, dtype=np.int64)
         hit = np.flatnonzero(slot >= 0)
-        hit = hit[self.marks[slot[hit]] == fingerprints(keys[hit].view("<u8"))]
-        place = self.places[slot[hit]]
+        hit = hit[self._table("marks", "<u4")[slot[hit]] == fingerprints(keys[hit].view("<u8"))]
+        place = self._table("places", "<i8")[slot[hit]]
         same = self.keys[place] == keys[hit]
         out[hit[same]] = place[same]
         return out
 
-    def at(self, place: int) -> np.ndarray:
-        """The ids of the document at *place*, read from the file."""
-        width, begin, end = self.head["width"], int(self.offsets[place]), int(self.offsets[place + 1])
-        return np.frombuffer(self.ids.read_at((end - begin) * width, begin * width), f"<u{width}").astype("<u4")
+    def _read(self, begin: int, end: int) -> bytes:
+        width = self.head["width"]
+        return self.ids.read_at((end - begin) * width, begin * width)
+
+    def at(self, begin: int, end: int) -> np.ndarray:
+        """The ids begin .. end of the shard, read from the file."""
+        return np.frombuffer(self._read(begin, end), f"<u{self.head['width']}").astype("<u4")
 
     def get(self, key: int) -> np.ndarray:
-        (place,) = self.find(np.array([key]))
-        if place < 0:
+        """The ids of one document: four entries of the index and one stretch of ids are read. KeyError if it is not here."""
+        asked = np.array([key], dtype="<i8").view("<u8")
+        slot = int(self.mph.slots(asked)[0])
+        if slot < 0 or self._entries("marks", "<u4", slot)[0] != fingerprints(asked)[0]:
             raise KeyError(key)
-        return self.at(int(place))
+        place = int(self._entries("places", "<i8", slot)[0])
+        if self._entries("keys", "<i8", place)[0] != key:
+            raise KeyError(key)
+        begin, end = self._entries("offsets", "<i8", place, 2)
+        return self.at(int(begin), int(end))
+
+
+def shard_of(manifest: list[dict], key: int) -> dict:
+    """The shard that holds the first document of *key*, by the ranges of keys; KeyError if none can."""
+    keyed = [m for m in manifest if m["high"] is not None]
+    k = bisect.bisect_left([m["high"] for m in keyed], key)
+    if k == len(keyed) or keyed[k]["low"] > key:
+        raise KeyError(key)
+    return keyed[k]
+
 
+def lookup(uri: str, manifest: list[dict], key: int) -> np.ndarray:
+    """The ids of the first document of *key*."""
+    return ShardReader(uri, shard_of(manifest, key)["name"]).get(key)
 
-def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int = 0, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[dict]]:
+
+def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[dict]]:
     """Encode whole texts and write them in ascending *id_col* order (nulls first); gives the folder and the manifest.
 
     A null text is empty, so that only *end* is stored. Rows that repeat an id
-    are all stored, ordered by their texts. The manifest has a row for each
-    shard, so its size is bounded by the number of shards.
+    are all stored, ordered by the bytes of their ids, so equal texts stand side by side. The
+    manifest has a row for each shard, so its size is bounded by the number of
+    shards. Texts are encoded where they lie; only ids are dealt into ranges.
     """
     spark = docs.sparkSession
     uri = uri or new_dir(spark, "tokens")
     store, root = _store(uri)
     store.create_dir(root, recursive=True)
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(vocabulary_size(path), end + 1) <= 1 << 16 else 4
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, rows in encode_column(path, batch.column(1), end):
+                if width == 2:
+                    rows = [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], names=["key", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out = TaskContext.get().partitionId(), None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for key, ids in zip(keys[a:b], encode_texts(path, texts[a:b], end), strict=True):
-                    out = out or ShardWriter(uri, f"{shard:06d}-{uuid.uuid4().hex}", width)
-                    out.add(key, ids)
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out = out or ShardWriter(uri, f"{shard:06d}-{uuid.uuid4().hex}", width)
+                out.add(key, ids)
         if out:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "name": out.name, "docs": len(out.keys), "ids": sum(out.counts)}])
+            keyed = [k for k in out.keys if k is not None]
+            row = {"shard": shard, "name": out.name, "docs": len(out.keys), "ids": sum(out.counts), "low": keyed[0] if keyed else None, "high": keyed[-1] if keyed else None}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    dealt = narrow.repartitionByRange(n_parts(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    # Cut here: the ranges are sampled, and would encode all texts twice.
+    encoded = cut(narrow.mapInArrow(encode, "key long, ids binary"))
+    dealt = encoded.repartitionByRange(n_parts(spark), "key", F.xxhash64("ids")).sortWithinPartitions("key", "ids")
     # Sorted here: an orderBy would sample, and so write, the shards twice.
     manifest = [r.asDict() for r in dealt.mapInArrow(write, _MANIFEST).collect()]
     return uri, sorted(manifest, key=lambda m: m["shard"])
@@ -177,17 +237,25 @@ def read_shards(spark, uri: str, manifest: list[dict], id_col: str = "doc_id") -
                 if (found < 0).any():
                     raise KeyError(f"{row['name']}: the index does not know {int(distinct[found < 0][0])}")
                 places[keyed[first]] = found
+                offsets, known, keys = shard.offsets, shard.known, shard.keys
                 begin = 0
                 while begin < len(places):
-                    end = int(np.searchsorted(shard.offsets, shard.offsets[begin] + 2_000_000, "right")) - 1
+                    end = int(np.searchsorted(offsets, offsets[begin] + 2_000_000, "right")) - 1
                     end = min(max(end, begin + 1), len(places))
-                    asked, some = range(begin, end), [int(p) for p in places[begin:end]]
+                    some = places[begin:end]
+                    starts, ends = offsets[some], offsets[some + 1]
+                    if (some[1:] == some[:-1] + 1).all():  # in a row, as written: read at once
+                        flat = shard.at(int(starts[0]), int(ends[-1]))
+                        cuts = (starts - starts[0]).tolist() + [int(ends[-1] - starts[0])]
+                        ids = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                    else:
+                        ids = [shard.at(int(a), int(b)).tobytes() for a, b in zip(starts, ends, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([int(shard.keys[i]) if shard.known[i] else None for i in asked], pa.int64()),
-                            pa.array([row["base"] + int(shard.offsets[p]) for p in some], pa.int64()),
-                            pa.array([int(shard.offsets[p + 1] - shard.offsets[p]) for p in some], pa.int64()),
-                            pa.array([shard.at(p).tobytes() for p in some], pa.binary()),
+                            pa.array(keys[begin:end], mask=~known[begin:end]),
+                            pa.array(row["base"] + starts),
+                            pa.array(ends - starts),
+                            pa.array(ids, pa.binary()),
                         ],
                         names=[id_col, "start", "n_tokens", "ids"],
                     )
@@ -204,6 +272,3 @@ def stored_digests(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_
     back = read_shards(docs.sparkSession, uri, manifest, id_col)
     return back.select(id_col, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def crc_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
