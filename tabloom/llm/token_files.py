@@ -25,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, n_parts, new_dir
+from .common import n_parts, new_dir, range_bounds, range_of
 from .perfect_hash import PerfectHash, fingerprints
 from .tokens import encode_column, vocabulary_size
 
+_COLUMNS = ("shard", "name", "docs", "ids", "low", "high")
 _MANIFEST = "shard long, name string, docs long, ids long, low long, high long"
 _PARTS = ("keys", "known", "offsets", "marks", "places", "hash")
 
@@ -60,8 +60,8 @@ class ShardWriter:
         self.keys.append(key)
         self.counts.append(len(ids) // self.width)
 
-    def close(self) -> None:
-        """Write the index. A key that repeats is found at its first document; null keys are only in the order of the file."""
+    def close(self, shard: int) -> pa.RecordBatch:
+        """Write the index; gives the manifest's row. A key that repeats is found at its first document; null keys are only in the order of the file."""
         self.out.close()
         known = np.array([k is not None for k in self.keys], dtype=bool)
         keys = np.array([k or 0 for k in self.keys], dtype="<i8")
@@ -80,6 +80,10 @@ class ShardWriter:
             f.write(len(head).to_bytes(8, "little") + head)
             for p in parts:
                 f.write(p)
+        keyed = [k for k in self.keys if k is not None]
+        row = (shard, self.name, len(self.keys), sum(self.counts), keyed[0] if keyed else None, keyed[-1] if keyed else None)
+        kinds = [pa.string() if name == "name" else pa.int64() for name in _COLUMNS]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=list(_COLUMNS))
 
 
 class ShardReader:
@@ -177,9 +181,9 @@ def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int =
     """Encode whole texts and write them in ascending *id_col* order (nulls first); gives the folder and the manifest.
 
     A null text is empty, so that only *end* is stored. Rows that repeat an id
-    are all stored, ordered by the bytes of their ids, so equal texts stand side by side. The
-    manifest has a row for each shard, so its size is bounded by the number of
-    shards. Texts are encoded where they lie; only ids are dealt into ranges.
+    are all stored, in the order of their texts' hashes. The manifest has a row
+    for each shard, so its size is bounded by the number of shards. Texts are
+    encoded where they lie; only ids are dealt into ranges.
     """
     spark = docs.sparkSession
     uri = uri or new_dir(spark, "tokens")
@@ -189,28 +193,31 @@ def write_shards(docs: DataFrame, path: str, uri: str | None = None, end: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, rows in encode_column(path, batch.column(1), end):
+            for a, b, rows in encode_column(path, batch.column(3), end):
                 if width == 2:
                     rows = [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in range(3)], pa.array(rows, pa.binary())], names=["shard", "key", "hash", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out = TaskContext.get().partitionId(), None
+        shard, out = None, None
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = out or ShardWriter(uri, f"{shard:06d}-{uuid.uuid4().hex}", width)
+            for number, key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if out is not None and number != shard:
+                    yield out.close(shard)
+                    out = None
+                if out is None:
+                    shard, out = number, ShardWriter(uri, f"{number:06d}-{uuid.uuid4().hex}", width)
                 out.add(key, ids)
-        if out:
-            out.close()
-            keyed = [k for k in out.keys if k is not None]
-            row = {"shard": shard, "name": out.name, "docs": len(out.keys), "ids": sum(out.counts), "low": keyed[0] if keyed else None, "high": keyed[-1] if keyed else None}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    # Cut here: the ranges are sampled, and would encode all texts twice.
-    encoded = cut(narrow.mapInArrow(encode, "key long, ids binary"))
-    dealt = encoded.repartitionByRange(n_parts(spark), "key", F.xxhash64("ids")).sortWithinPartitions("key", "ids")
-    # Sorted here: an orderBy would sample, and so write, the shards twice.
+        if out is not None:
+            yield out.close(shard)
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    n = n_parts(spark)
+    bounds = range_bounds(narrow.select("key", "hash"), n)
+    shard = range_of(F.struct(F.col("key").alias("a"), F.col("hash").alias("b")), bounds, "struct<a:bigint,b:bigint>")
+    encoded = narrow.select(shard.cast("long").alias("shard"), "key", "hash", "text").mapInArrow(encode, "shard long, key long, hash long, ids binary")
+    # The ranges are fixed before, so that no sampling encodes texts twice, and nothing but ids is moved.
+    dealt = encoded.repartition(n, "shard").sortWithinPartitions("shard", "key", "hash", "ids")
     manifest = [r.asDict() for r in dealt.mapInArrow(write, _MANIFEST).collect()]
     return uri, sorted(manifest, key=lambda m: m["shard"])
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks kept per worker and generation, and the bytes of the longest that is kept: bounds of memory, not of input.
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 300_000, 64
 #: Bytes of texts that are worked on at once; a longer text is a batch of its own.
 BATCH = 8_000_000
 MARKS = (".", ",", ";", ":", "!", "?")

@@ -46,17 +46,18 @@ def test_near_duplicates(spark, sf):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-@pytest.mark.parametrize("small", [0, 12])
-def test_hot_groups(spark, monkeypatch, small):
-    """Large groups of near copies with links missing inside, in buckets beyond all pairs at once."""
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("left, right", [(2, 3), (512, 2048)])
+def test_hot_groups(spark, monkeypatch, left, right):
+    """Large groups of near copies with links missing inside, in buckets of one block and of many."""
+    monkeypatch.setattr(minhash, "LEFT", left)
+    monkeypatch.setattr(minhash, "RIGHT", right)
     rng = random.Random(4)
     rows = []
-    for base in range(2):
+    for base, most in ((0, 2), (1, 2), (2, 9)):
         words = [f"w{base}_{i}" for i in range(80)]
-        for k in range(60):
+        for _ in range(60):
             mine = list(words)
-            for _ in range(rng.randint(0, 2)):
+            for _ in range(rng.randint(0, most)):
                 mine[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(mine)))
     rows += [(len(rows) + i, rows[3][1]) for i in range(50)]
@@ -65,6 +66,22 @@ def test_hot_groups(spark, monkeypatch, small):
     assert got == brute(rows, 85)
 
 
+def test_many_texts_just_below_the_threshold(spark):
+    """Many texts that share most buckets: similarities on both sides of the threshold."""
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for k in range(1200):
+        mine, at = list(words), rng.randrange(120)
+        for j in range(rng.choice((1, 2, 3, 4))):
+            mine[(at + 29 * j) % 120] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(mine)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute(rows, 85)
+    kept = [r.doc_id for r in minhash.keep_first(df.unionByName(df.where("doc_id % 3 = 0"))).select("doc_id").collect()]
+    assert sorted(kept) == sorted(k for k, (_, c) in got.items() if k == c)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = minhash.near_duplicates(odd).collect()
     got = {}
@@ -77,6 +94,8 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert got[None] == [(56, None, True), (1, None, True)] or got[None] == [(1, None, True), (56, None, True)]
     kept = minhash.keep_first(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
+    again = minhash.keep_first(odd.unionByName(odd))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
     assert minhash.near_duplicates(none).count() == 0
 
 
@@ -303,5 +322,5 @@ def test_bitmaps_bound_what_sets_share():
     for size in (1, 20, 300, 5000):
         both = rng.integers(0, 2**63, size, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (size // 7, size // 5))
-        differ = np.unpackbits(minhash.bitmap(a).view(np.uint8) ^ minhash.bitmap(b).view(np.uint8)).sum()
+        differ = np.unpackbits(np.frombuffer(minhash.bitmap(a), np.uint8) ^ np.frombuffer(minhash.bitmap(b), np.uint8)).sum()
         assert 2 * len(np.intersect1d(a, b)) <= len(a) + len(b) - int(differ)

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -86,8 +87,9 @@ def test_perfect_hash():
 
 
 def brute_files(rows, library):
+    """Rows that repeat an id in the order of Spark's hash of their texts, which is its seed for a null."""
     out, start = [], 0
-    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(42 if r[1] is None else xxhash.xxh64_intdigest(r[1], 42)).astype(np.int64))):
         ids = np.array([*library(text), 0], "<u4")
         out.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -118,6 +120,26 @@ def test_keyed_access(spark, odd, library):
     assert seen == {k: [*library(t), 0] for k, t in texts.items() if k is not None}
 
 
+def test_lookup_across_shards(spark, library):
+    rows = [(k * 3, f"text {k}") for k in range(200)] + [(30, "again"), (None, "no key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    uri, manifest = token_files.write_shards(docs, BYTE)
+    assert len(manifest) > 1
+    for k in (0, 3, 300, 597):
+        assert token_files.lookup(uri, manifest, k).tolist() == [*library(f"text {k // 3}"), 0]
+    assert token_files.lookup(uri, manifest, 30).tolist() in ([*library("text 10"), 0], [*library("again"), 0])
+    for k in (-1, 1, 598, 10**12):
+        with pytest.raises(KeyError):
+            token_files.lookup(uri, manifest, k)
+
+
+def test_other_split_patterns_are_refused():
+    with pytest.raises(ValueError):
+        tokens.byte_bpe(P.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        bpe.RankBPE(MULTI, r"\w+|\W+")
+
+
 @pytest.mark.parametrize("part", ["marks", "places"])
 def test_rows_are_read_through_the_index(spark, odd, part):
     """An index that has lost its keys is an error, whether its fingerprints or its places are wrong."""
