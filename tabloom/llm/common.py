@@ -112,6 +112,11 @@ def range_bounds(keys: DataFrame, n: int) -> list[tuple]:
     return sorted(found, key=lambda k: [(x is not None, x if x is not None else 0) for x in k])
 
 
+def bound_table(bounds: list[tuple], kind: str) -> Column:
+    """Bounds as one constant, an array of structs of type *kind*, whose fields are a, b, .."""
+    return F.from_json(F.lit(json.dumps([dict(zip("abcdefgh", r, strict=False)) for r in bounds])), f"array<{kind}>")
+
+
 def range_of(key: Column, bounds: list[tuple], kind: str) -> Column:
     """The number, from 0, of the range of *bounds* that *key* lies in; -1 before all. *key* is a struct of type *kind*.
 
@@ -121,10 +126,7 @@ def range_of(key: Column, bounds: list[tuple], kind: str) -> Column:
         return F.lit(-1)
     step = max(1, int(len(bounds) ** 0.5))
 
-    def table(rows: list[tuple]) -> Column:
-        return F.from_json(F.lit(json.dumps([dict(zip("abcdefgh", r, strict=False)) for r in rows])), f"array<{kind}>")
-
-    whole, coarse = table(bounds), table(bounds[::step])
+    whole, coarse = bound_table(bounds, kind), bound_table(bounds[::step], kind)
 
     def search(k: Column) -> Column:
         upto = F.size(F.filter(coarse, lambda b: b <= k))
