@@ -198,7 +198,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that pass, with their columns. Texts are measured twice rather than moved."""
-    measured = measure(docs, text_col)
-    limits = thresholds(measured, lang_col, source_col)
-    return judge(measured, limits, lang_col, source_col).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows that pass, with their columns as they are, whatever their names. Texts are measured twice rather than moved."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    measured = measure(docs.select(whole, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")))
+    return judge(measured, thresholds(measured)).where("kept").select("row.*")

@@ -105,6 +105,16 @@ def test_quality_rule_of_a_bad_source_still_fires(spark, bad):
     assert all(kept[1000 + i] for i in range(100))
 
 
+def test_kept_documents_keep_their_columns(spark, odd):
+    """Columns named like the operator's own come back unchanged."""
+    docs = odd.withColumn("__lang", F.lit(7)).withColumn("base_failed", F.lit("mine"))
+    rows = {r.doc_id: r.asDict() for r in docs.where("doc_id in (6, 7, 10)").collect()}
+    kept = quality.keep_documents(docs)
+    assert kept.schema == docs.schema
+    got = [r.asDict() for r in kept.where("doc_id in (6, 7, 10)").collect()]
+    assert got and all(r == rows[r["doc_id"]] for r in got)
+
+
 def test_quality_salted_join_is_the_broadcast_join(spark, odd, monkeypatch):
     want = sorted(map(repr, quality.judge_documents(odd).collect()))
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
