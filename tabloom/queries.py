@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import blob, factors, generators, hashing, layout, packing
 from .operators import joins, verbs
 from .plans.table import Table
+from .runtime import shared_dir
 from .session import prepare
 from .sources import store
 from .sources.database import Database
@@ -39,11 +41,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 def _scratch(spark: SparkSession, kind: str) -> str:
     """A path for what a query writes: in the folder named by the session, else a temporary one."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tabloom-{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/tabloom-{kind}-{uuid.uuid4().hex}"
 
 
 # Scans.

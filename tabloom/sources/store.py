@@ -1,12 +1,15 @@
 """Tables stored as Parquet, with ordinals, keys and column descriptions.
 
-A stored table is a Parquet dataset with one more column, ``__row``: the
-0-based ordinal of each row. Its values rise through the files, so the minima
-and maxima in the footers let a row range skip what lies outside. The field's
-metadata hold the format version, the column names in order and the keys, so
-that a table is self-contained, zero columns included. Parquet datasets
-without ``__row`` can be read too; their ordinals are the order of the files
-and of the rows in them, and are found without skipping.
+A stored table is a Parquet dataset with one more column, ``__row``: the part
+that wrote a row, times 2**SHIFT, plus the row's place in it. It is made while
+rows are written, so they are computed once, whatever the plan; and its values
+rise in the order of the rows. How many rows each part has is read back from
+what was written and kept in the folder ``_ordinals`` beside the files. So a
+range of ordinals is one interval of ``__row``, and the minima and maxima in
+the footers let it skip what lies outside. The field's metadata hold the format
+version, the column names in order and the keys, so that a table is
+self-contained, zero columns included. Parquet datasets without ``__row`` can
+be read too; their ordinals are the order of the files and of the rows in them.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BAD_RANGE, NOT_POSITIVE, OUT_OF_RANGE, ColumnNotFound, RowRangeError, TableError
+from ..runtime import fixed
 from ..types import KEY, Described, description
 
 ROW = "__row"
 VERSION = 1
+SHIFT = 33
+_EXTENTS = "_ordinals"
 
 
 @dataclass(frozen=True)
@@ -48,25 +54,33 @@ def codec_options(compress: int) -> dict[str, str]:
         return {"compression": "uncompressed"}
     if compress <= 50:
         return {"compression": "lz4_raw"}
-    return {"compression": "zstd", "parquet.compression.codec.zstd.level": str(max(1, 22 * (compress - 50) // 50))}
+    # Beyond level 6 files shrink by a few hundredths, at many times the cost.
+    return {"compression": "zstd", "parquet.compression.codec.zstd.level": str(max(1, 6 * (compress - 50) // 50))}
+
+
+def _ordered(df: DataFrame, order: list[str] | None) -> DataFrame:
+    if not order:
+        return df
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
 def with_ordinals(df: DataFrame, row: str = ROW, order: list[str] | None = None) -> DataFrame:
     """Add the 0-based ordinal of each row, in the order of *order* or else the one the rows have.
 
-    Each partition numbers its rows; what comes before it is a table of a row a
-    partition. Nothing is gathered, and rows only move if *order* is given.
+    The rows and their places are fixed by a checkpoint first: another run of
+    the plan may deal them otherwise. Then what comes before each partition is
+    a table of a row a partition, so nothing is gathered.
     """
-    if order:
-        n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        df = df.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
-    at = df.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
+    at = fixed(_ordered(df, order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", SHIFT)
     sizes = at.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     # A row for each partition: safe to broadcast.
     numbered = at.join(F.broadcast(before), part == F.col("__part"), "left")
-    ordinal = F.coalesce("__before", F.lit(0)) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    known = F.when(F.col("__before").isNull(), F.raise_error(F.lit("a partition has no ordinals")).cast("long")).otherwise(F.col("__before"))
+    ordinal = known + F.col("__at").bitwiseAND(F.lit((1 << SHIFT) - 1))
     return numbered.select(*[f"`{c}`" for c in df.columns], ordinal.alias(row))
 
 
@@ -74,8 +88,7 @@ def write_table(df: DataFrame, path: str, compress: int = 0, keys: list[str] | N
     """Store *df*; an existing table is replaced.
 
     *keys* declares sort keys; they are recorded and not enforced. *order*
-    sorts the rows first. The ordinals of a table with no *order* follow from
-    two passes over the plan, so its partitions must hold the same rows in both.
+    sorts the rows first; else they keep the order that they have when written.
     """
     names = list(df.columns)
     if ROW in names:
@@ -93,8 +106,48 @@ def write_table(df: DataFrame, path: str, compress: int = 0, keys: list[str] | N
         df = df.toDF(*plain)
         df = df.select(*[F.col(p).alias(p, metadata=m) for p, m in fields.items()])
         order = [plain[names.index(k)] for k in order] if order else None
-    stored = with_ordinals(df, order=order).withMetadata(ROW, head)
-    stored.write.mode(mode).options(**codec_options(compress)).parquet(path)
+    write_parts(_ordered(df, order), path, compress, head, 0, mode)
+
+
+def write_parts(df: DataFrame, path: str, compress: int, head: dict, first_part: int, mode: str) -> None:
+    """Write rows as the parts from *first_part* on, and record how many each has."""
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id() + F.lit(first_part << SHIFT)
+    df.withColumn(ROW, at).withMetadata(ROW, head).write.mode(mode).options(**codec_options(compress)).parquet(path)
+    extents = _written(spark.read.parquet(path).where(F.col(ROW) >= first_part << SHIFT))
+    found = spark.createDataFrame(extents, "part long, n long") if extents else spark.createDataFrame([], "part long, n long")
+    found.coalesce(1).write.mode(mode).parquet(f"{path}/{_EXTENTS}")
+
+
+def _written(raw: DataFrame) -> list[tuple[int, int]]:
+    """(part, rows) of what is stored, in order: one row a task that wrote. Places that are not 0 .. rows - 1 are an error."""
+    at = F.col(ROW).bitwiseAND(F.lit((1 << SHIFT) - 1))
+    found = raw.groupBy(F.shiftright(ROW, SHIFT).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect()
+    if any(r["low"] != 0 or r["high"] != r["n"] - 1 for r in found):
+        raise TableError("The ordinals of the table are damaged.")
+    return sorted((r["part"], r["n"]) for r in found)
+
+
+def extents(spark: SparkSession, path: str, raw: DataFrame) -> list[tuple[int, int]]:
+    """(part, rows) in the order of the rows: as recorded, or counted anew where the record does not agree with the footers."""
+    n = raw.count()
+    try:
+        kept = sorted((r["part"], r["n"]) for r in spark.read.parquet(f"{path.rstrip('/')}/{_EXTENTS}").collect())
+    except (PySparkException, Py4JJavaError):
+        kept = []
+    return kept if sum(k for _, k in kept) == n else _written(raw)
+
+
+def _interval(parts: list[tuple[int, int]], first: int, length: int) -> tuple[int, int]:
+    """The interval of ``__row`` of the rows first .. first + length."""
+    low = high = before = 0
+    for part, n in parts:
+        if before <= first < before + n:
+            low = (part << SHIFT) + first - before
+        if before < first + length <= before + n:
+            high = (part << SHIFT) + first + length - before
+        before += n
+    return (low, high) if length else (0, 0)
 
 
 def _head_hash(head: dict) -> str:
@@ -194,12 +247,14 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     chosen = resolve(names, columns)
     whole = from_row == 1 and to_row == -1
     if not whole:
-        first, length = check_range(raw.count(), from_row, to_row)
+        parts = extents(spark, path, raw) if ROW in raw.columns else None
+        first, length = check_range(sum(n for _, n in parts) if parts is not None else raw.count(), from_row, to_row)
+        low, high = (first, first + length) if parts is None else _interval(parts, first, length)
     if ROW not in raw.columns and (in_order or not whole):
         raw = _bare_ordinals(raw)
     rows = raw
     if not whole:
-        rows = rows.where((F.col(ROW) >= first) & (F.col(ROW) < first + length))
+        rows = rows.where((F.col(ROW) >= low) & (F.col(ROW) < high))
     if in_order:
         rows = rows.orderBy(ROW)
     return rows.select(*[F.col(f"`{stored[c]}`").alias(c, metadata=raw.schema[stored[c]].metadata) for c in chosen])

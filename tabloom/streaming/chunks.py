@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import TableError
 from ..operators.joins import bind_columns
-from ..sources.store import ROW, TableMeta, codec_options, read_table, table_meta, with_ordinals, write_table
+from ..sources.store import ROW, SHIFT, TableMeta, extents, read_table, table_meta, write_parts, write_table
 
 
 class ChunkStream:
@@ -52,10 +52,14 @@ class ChunkStream:
         if sorted(names) != sorted(chunk.columns):
             raise TableError("chunk has other columns")
         stored = self.spark.read.parquet(self.path)
-        n = stored.count()
-        rows = with_ordinals(chunk.select(*[F.col(f"`{c}`").cast(stored.schema[c].dataType).alias(c, metadata=stored.schema[c].metadata) for c in names]))
-        rows = rows.withColumn(ROW, (F.col(ROW) + n).alias(ROW)).withMetadata(ROW, stored.schema[ROW].metadata)
-        rows.write.mode("append").options(**codec_options(self.compress)).parquet(self.path)
+        rows = chunk.select(*[F.col(f"`{c}`").cast(stored.schema[c].dataType).alias(c, metadata=stored.schema[c].metadata) for c in names])
+        write_parts(rows, self.path, self.compress, stored.schema[ROW].metadata, self.next_part(), "append")
+
+    def next_part(self) -> int:
+        """The part that the next chunk begins with; 0 for a table that is not there yet."""
+        if not self.started:
+            return 0
+        return 1 + max([p for p, _ in extents(self.spark, self.path, self.spark.read.parquet(self.path))], default=-1)
 
     def cbind(self, chunk: DataFrame, to: str) -> None:
         """Write the table with the chunk's columns beside its own to *to*, and go on there."""
@@ -70,25 +74,33 @@ class ChunkStream:
 def append_stream(stream: DataFrame, path: str, checkpoint: str, compress: int = 0, available_now: bool = True) -> StreamingQuery:
     """Append the rows of a stream to a table, a chunk a micro-batch.
 
-    A batch that is run again after a failure is told by its number and not
-    appended twice.
+    Before a batch is appended, its number, the part that it begins with and its
+    number of rows are noted. A batch that is run again after a failure finds its
+    note: rows of that part and later ones are its own, and if they are all
+    there it is not appended twice; if some are, the table is damaged.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = f"{checkpoint}/appended"
+        files = spark._jvm.org.apache.hadoop.fs
+        fs = files.Path(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = fs.exists(files.Path(f"{path}/_SUCCESS"))
+        note = f"{checkpoint}/batches/{number}"
         rows = batch.persist()
         try:
-            if rows.isEmpty():
-                return
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-            fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-            if fs.exists(target):
+            n = rows.count()
+            if not n:
                 return
-            table = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-            with ChunkStream(spark, path, "a" if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table) else "w", compress) as out:
+            with ChunkStream(spark, path, "a" if there else "w", compress) as out:
+                if fs.exists(files.Path(f"{note}/_SUCCESS")):
+                    part, noted = spark.read.parquet(note).first()
+                    stored = spark.read.parquet(path).where(F.col(ROW) >= part << SHIFT).count() if there else 0
+                    if stored == noted:
+                        return
+                    if stored:
+                        raise TableError(f"batch {number} was appended in part: {stored} of {noted} rows")
+                spark.createDataFrame([(out.next_part(), n)], "part long, n long").coalesce(1).write.mode("overwrite").parquet(note)
                 out.rbind(rows)
-            fs.mkdirs(target)
         finally:
             rows.unpersist()
 

@@ -69,6 +69,56 @@ def test_range_skips_row_groups(spark, stored):
     assert "b:" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordinals_hold_for_any_plan(spark, tmp_path, adaptive):
+    """Wide ordered rows, aggregates and repartitioned rows: ordinals are 0 .. n-1, ranges are slices, bound columns stay beside their partners."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 60_000
+        wide = spark.range(n).select(F.col("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+        mixed = spark.range(3 * n).select((F.col("id") % n).alias("k"), F.col("id").alias("t"))
+        plans = {
+            "ordered": (wide.orderBy(F.xxhash64("id")), ["id"], "id"),
+            "aggregate": (mixed.groupBy("k").agg(F.max("t").alias("t")), None, "k"),
+            "dealt": (wide.repartition(7), None, "id"),
+        }
+        for name, (df, order, key) in plans.items():
+            path = f"file://{tmp_path}/{name}{adaptive}"
+            store.write_table(df, path, 30, order=order)
+            whole = [r[0] for r in store.read_table(spark, path, [key], in_order=True).collect()]
+            assert sorted(whole) == list(range(n))
+            if order:
+                assert whole == list(range(n))
+            for a, b in ((1, 1000), (n // 2, n // 2 + 10), (n - 5, -1)):
+                got = [r[0] for r in store.read_table(spark, path, [key], a, b, in_order=True).collect()]
+                assert got == whole[a - 1 : None if b == -1 else b]
+            numbered = store.with_ordinals(df, order=order).agg(F.count_distinct(store.ROW), F.min(store.ROW), F.max(store.ROW)).first()
+            assert tuple(numbered) == (n, 0, n - 1)
+        ordered = store.read_table(spark, f"file://{tmp_path}/ordered{adaptive}", ["id"], in_order=True)
+        beside = joins.bind_columns(ordered, spark.range(n).select((F.col("id") * 2).alias("twice")))
+        assert beside.where("twice = 2 * id").count() == n
+        path = f"file://{tmp_path}/grown{adaptive}"
+        with ChunkStream(spark, path, "w") as s:
+            s.rbind(plans["aggregate"][0])
+            s.rbind(plans["aggregate"][0])
+            assert s.meta_data().n_rows == 2 * n
+        assert store.read_table(spark, path, ["k"], n - 10, n + 10).count() == 21
+        assert sorted(r[0] for r in store.read_table(spark, path, ["k"], n + 1).collect()) == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lost_record_of_extents(spark, tmp_path):
+    """The record of how many rows each part has can be made again from the rows."""
+    path = f"file://{tmp_path}/t"
+    store.write_table(spark.range(0, 100, 1, 5), path)
+    import shutil
+
+    shutil.rmtree(tmp_path / "t" / "_ordinals")
+    assert [r.id for r in store.read_table(spark, path, None, 18, 43, in_order=True).collect()] == list(range(17, 43))
+
+
 def test_error_order(spark, stored, tmp_path):
     with pytest.raises(TableError):
         store.read_table(spark, f"file://{tmp_path}/none", ["zz"], 0)
@@ -206,6 +256,24 @@ def test_stream_appends_once(spark, tmp_path):
         assert sorted(r.id for r in store.read_table(spark, out).collect()) == list(range(n))
 
 
+def test_failure_between_append_and_the_streams_own_mark(spark, tmp_path, monkeypatch):
+    """A batch whose rows are stored before its query fails is not appended again."""
+    source, out, check = f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check"
+    spark.range(0, 20).write.parquet(source)
+    whole = ChunkStream.rbind
+
+    def rbind(self, chunk):
+        whole(self, chunk)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ChunkStream, "rbind", rbind)
+    with pytest.raises(Exception, match="lost"):
+        append_stream(spark.readStream.schema("id long").parquet(source), out, check).awaitTermination()
+    monkeypatch.setattr(ChunkStream, "rbind", whole)
+    append_stream(spark.readStream.schema("id long").parquet(source), out, check).awaitTermination()
+    assert sorted(r.id for r in store.read_table(spark, out).collect()) == list(range(20))
+
+
 def test_verbs(spark):
     df = spark.createDataFrame([(2, None), (1, "a"), (None, "b"), (2, None)], "k int, v string")
     t = Table(df).group_by("k")
