@@ -76,9 +76,9 @@ class CRF:
                 p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def viterbi(self, x: np.ndarray) -> list[int]:
-        """The best states of one chain (length, features)."""
-        e, t = x @ self.weights, self.trans + self.fixed
+    def viterbi(self, e: np.ndarray) -> list[int]:
+        """The best states of one chain, from the scores of its words (length, states): features times weights."""
+        t = self.trans + self.fixed
         best, back = self.start + self.fixed_start + e[0], []
         for i in range(1, len(e)):
             through = best[:, None] + t

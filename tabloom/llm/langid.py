@@ -31,8 +31,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _keys(text: str) -> np.ndarray:
-    """The text's n-grams of order 4, 16 bits a character; before its start stand three pads."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) & np.uint64(0xFFFF)
+    """The text's n-grams of order 4, 16 bits a character (one beyond them is a pair, as in UTF-16); before its start stand three pads."""
+    codes = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint64)
     codes = np.concatenate([_PAD, codes])
     n = len(codes) - ORDER + 1
     out = np.zeros(n, dtype=np.uint64)

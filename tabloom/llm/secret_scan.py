@@ -37,8 +37,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGN = re.compile(r"[0-9_+/=]|[A-Za-z0-9]{16}")
 _EDGES = "\"'`()[]{}<>,;:!?."
 _CUES = ("password", "passwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pass", "private", "access")
-#: Words of a chain decoded at once; longer runs are cut here, which bounds memory.
-LONGEST_CHAIN = 2_000
+#: Words whose features are held at once; chains of any length are decoded whole, from their scores.
+BLOCK = 2_000
+#: Words of a chain that the field is trained on at once; longer ones of the sample are trained on in pieces.
+TRAINED = 50
 Span = tuple[int, int, str]
 
 
@@ -78,7 +80,7 @@ def _cue(word: str) -> bool:
 
 
 def _shape(word: str) -> list[float]:
-    core = word.strip(_EDGES)[:512]
+    core = word.strip(_EDGES)
     n = max(len(core), 1)
     digits, upper, lower = (sum(map(f, core)) / n for f in (str.isdigit, str.isupper, str.islower))
     changes = sum(a.isalpha() != b.isalpha() for a, b in zip(core, core[1:], strict=False)) / n
@@ -144,8 +146,8 @@ def _cut(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tu
     return out
 
 
-def chains(text: str, spans: list[tuple[int, int]] | None = None) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
-    """Runs of words that are not plain, cut at the *spans* of the fixed patterns: their places, and their features."""
+def chains(text: str, spans: list[tuple[int, int]] | None = None) -> Iterator[tuple[list[tuple[int, int]], Iterator[np.ndarray]]]:
+    """Runs of words that are not plain, cut at the *spans* of the fixed patterns: their places, and their features by blocks."""
     if not _SIGN.search(text):
         return
     places = [m.span() for m in _WORD.finditer(text)]
@@ -154,16 +156,30 @@ def chains(text: str, spans: list[tuple[int, int]] | None = None) -> Iterator[tu
     words = [text[a:b] for a, b in places]
     odd = [i for i, w in enumerate(words) if not plain(w)]
     file = file_features(len(words), len(odd))
+
+    def blocks(run: list[int]) -> Iterator[np.ndarray]:
+        for a in range(0, len(run), BLOCK):
+            yield np.array([features(words, i, file) for i in run[a : a + BLOCK]])
+
     at = 0
     while at < len(odd):
         end = at + 1
-        while end < len(odd) and odd[end] == odd[end - 1] + 1 and end - at < LONGEST_CHAIN:
+        while end < len(odd) and odd[end] == odd[end - 1] + 1:
             end += 1
         run = odd[at:end]
-        yield [places[i] for i in run], np.array([features(words, i, file) for i in run])
+        yield [places[i] for i in run], blocks(run)
         at = end
 
 
+def _pieces(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A chain with its states in pieces of TRAINED words; a span that goes on begins anew."""
+    for a in range(0, len(y), TRAINED):
+        states = y[a : a + TRAINED].copy()
+        if states[0] == INSIDE:
+            states[0] = BEGIN
+        yield x[a : a + TRAINED], states
+
+
 def labels(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
     """Begin for the first word that meets a span, inside for those after it, outside for the rest."""
     out = np.full(len(places), OUT)
@@ -222,9 +238,9 @@ def examples(texts: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarr
     rng, out = random.Random(seed), []
     for text in texts:
         spans = [(a, b) for a, b, _ in base_spans(text)]
-        for places, x in chains(text, spans):
-            out.append((x[:50], labels(places, spans)[:50]))
-    stock = [t.split()[:400] for t in texts if t] or [["text"]]
+        for places, blocks in chains(text, spans):
+            out += _pieces(np.concatenate(list(blocks)), labels(places, spans))
+    stock = [t.split() for t in texts if t and t.split()] or [["text"]]
     for k in range(1500):
         words = rng.choice(stock)
         at = rng.randint(0, len(words))
@@ -239,8 +255,8 @@ def examples(texts: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarr
         start = len(" ".join(made[: len(words[max(0, at - 6) : at]) + len(lead)]))
         base = [(a, b) for a, b, _ in base_spans(text)]
         spans = base + ([(start, start + len(word) + 1)] if secret else [])
-        for places, x in chains(text, base):
-            out.append((x, labels(places, spans)))
+        for places, blocks in chains(text, base):
+            out += _pieces(np.concatenate(list(blocks)), labels(places, spans))
     return out
 
 
@@ -259,14 +275,12 @@ def field_spans(text: str, field: CRF, base: list[Span]) -> list[Span]:
     spans = sorted((a, b) for a, b, _ in base)
     starts = [a for a, _ in spans]
     reach = np.maximum.accumulate([-1, *[b for _, b in spans]])
-    for places, x in chains(text, spans):
-        if not (x @ field.weights[:, BEGIN] + field.start[BEGIN] > -50).any():
-            continue
+    for places, blocks in chains(text, spans):
         # Words are cut at the spans, so those that start inside one lie inside it.
         at = np.searchsorted(starts, [a for a, _ in places], side="right")
         covered = reach[at] > [a for a, _ in places]
         run: list[tuple[int, int]] = []
-        for state, place, hidden in [*zip(field.viterbi(x), places, covered, strict=True), (BEGIN, (0, 0), True)]:
+        for state, place, hidden in [*zip(field.viterbi(np.concatenate([x @ field.weights for x in blocks])), places, covered, strict=True), (BEGIN, (0, 0), True)]:
             if run and (state != INSIDE or hidden):
                 start, end = _trim(text, run[0][0], run[-1][1])
                 if start < end:
@@ -332,5 +346,6 @@ def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n
 
     made = docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
     if length_col in docs.columns:
-        made = made.withColumn(length_col, F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema[length_col].dataType))
+        # A null text has the length that it came with.
+        made = made.withColumn(length_col, F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), F.col(length_col)))
     return made.select(*[f"`{c}`" for c in docs.columns])

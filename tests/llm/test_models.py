@@ -283,7 +283,7 @@ def test_viterbi_and_gradient_are_exact():
         return s[y[0]] + sum(e[i, y[i]] for i in range(5)) + sum(t[y[i - 1], y[i]] for i in range(1, 5))
 
     paths = [tuple(int(c) for c in np.base_repr(k, 3).zfill(5)) for k in range(3**5)]
-    assert tuple(model.viterbi(x)) == max(paths, key=score)
+    assert tuple(model.viterbi(x @ model.weights)) == max(paths, key=score)
     y = max(paths, key=score)
     like, grad, *_ = model._gradient(x[None], np.array([y]))
     all_scores = np.array([score(p) for p in paths])
@@ -292,6 +292,37 @@ def test_viterbi_and_gradient_are_exact():
     assert (model._gradient(x[None], np.array([y]))[0] - like) / 1e-6 == pytest.approx(grad[1, 2], abs=1e-4)
 
 
+def test_chains_are_decoded_whole(monkeypatch):
+    """Blocks of features bound memory only: a chain beyond them is decoded as if it were one."""
+    rng = random.Random(1)
+    field = crf.CRF(secret_scan.N_FEATURES)
+    np_rng = np.random.default_rng(4)
+    field.weights, field.trans = np_rng.normal(size=(secret_scan.N_FEATURES, 3)), np_rng.normal(size=(3, 3))
+    text = " ".join("".join(rng.choice("abAB019_/") for _ in range(rng.randint(2, 30))) + "1" for _ in range(400)) + " " + "word9" * 400
+    want = secret_scan.field_spans(text, field, [])
+    monkeypatch.setattr(secret_scan, "BLOCK", 7)
+    assert secret_scan.field_spans(text, field, []) == want and want
+
+
+def test_wide_characters_are_told_apart():
+    """Characters beyond 16 bits are pairs, so none is taken for another."""
+    a, b = "\U00010061" * 5, "a" * 5
+    assert not set(langid._keys(a).tolist()) & set(langid._keys(b).tolist())
+
+
+def test_pipeline_on_odd_rows_and_on_none(spark, odd, none, sf):
+    """Each stage takes nulls, empty texts, repeated rows, clashing names and empty tables, and the first four keep the columns."""
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        empty = stage(spark, none, sf)
+        assert empty.count() == 0 and empty.columns == got.columns
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.schema.names == odd.schema.names
+            assert got.count() <= odd.count()
+        else:
+            assert {r[0] for r in got.select("doc_id").collect()} == {r[0] for r in odd.select("doc_id").collect()}
+
+
 def test_pipeline(spark, sf):
     """Stage by stage against brute force, each on its own input."""
     import public_tokenizers
