@@ -1,11 +1,12 @@
 """Byte-level BPE by ranks: encoding with a segment tree over byte positions, and decoding.
 
 The tree's leaves are byte positions; the leaf of a live token holds the rank
-of the pair it makes with its live right neighbour, and inner nodes the least
-(rank, position), so the root is the leftmost pair of least rank. A merge
-changes the leaves of the merged token, its right and its left neighbour: each
-is one walk to the root. A piece of n bytes takes O(n log n) steps, long
-unbroken ones included.
+of the pair it makes with its live right neighbour, and inner nodes, of FAN
+children each, the least (rank, position), so the least of the top is the
+leftmost pair of least rank. A merge changes the leaves of the merged token,
+its right and its left neighbour: each is one walk to the top. A piece of n
+bytes takes O(n log n) steps, long unbroken ones included; most pieces are
+short and have one level.
 """
 
 from __future__ import annotations
@@ -25,48 +26,55 @@ from pyspark.sql import types as T
 from .tokens import KEPT, LONGEST, PATTERN, Chunked
 
 
+FAN = 16
+_NONE = 1 << 62
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the leftmost pair of least rank is merged until no pair has a rank."""
     n = len(piece)
     if n == 1:
         return [ranks[piece]]
-    size = 1 << (n - 1).bit_length()
-    none = len(ranks) * size * 4 + size  # more than any rank * size + position
-    tree = [none] * (2 * size)
     end = list(range(1, n + 1))  # of the live token that begins here
     left = list(range(-1, n - 1))  # where the live token before begins
     get = ranks.get
+    leaves = [_NONE] * n
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r * size + i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    while tree[1] < none:
-        i = tree[1] & (size - 1)
+            leaves[i] = r * n + i
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top = levels[-1]
+
+    while (low := min(top)) < _NONE:
+        i = low % n
         j = end[i]
         stop = end[i] = end[j]
-        before, pair, lead = left[i], None, None
+        before = left[i]
+        leaves[j] = leaves[i] = _NONE
         if stop < n:
             left[stop] = i
-            pair = get(piece[i : end[stop]])
+            r = get(piece[i : end[stop]])
+            if r is not None:
+                leaves[i] = r * n + i
         if before >= 0:
-            lead = get(piece[before:stop])
-        for at, rank in ((j, None), (i, pair), (before, lead)):
+            r = get(piece[before:stop])
+            leaves[before] = _NONE if r is None else r * n + before
+        if top is leaves:
+            continue
+        for at in (j, i, before):
             if at < 0:
                 continue
-            k = size + at
-            tree[k] = none if rank is None else rank * size + at
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                low = a if a < b else b
-                if tree[k] == low:
+            k, below = at, leaves
+            for level in levels[1:]:
+                k //= FAN
+                least = min(below[k * FAN : k * FAN + FAN])
+                if level[k] == least:
                     break
-                tree[k] = low
-                k >>= 1
+                level[k], below = least, level
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
