@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,26 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import fixed, shared_dir
+
 #: Words are runs of characters that are none of these.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tabloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
 def new_dir(spark: SparkSession, kind: str) -> str:
     """A name below the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -38,8 +24,7 @@ def new_dir(spark: SparkSession, kind: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return fixed(df)
 
 
 def cut_narrow(df: DataFrame) -> DataFrame:
