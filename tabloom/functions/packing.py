@@ -36,6 +36,59 @@ def unpack_logicals(words: Column, n: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<boolean>")).when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value))
 
 
+def narrow_column(value: Column, width: int) -> Column:
+    """int -> tinyint or smallint that holds NULL as its least value, so that nothing beside it says what is missing; an error for what does not fit."""
+    kind = {1: "tinyint", 2: "smallint"}[width]
+    least = -(1 << (8 * width - 1))
+    fits = (value > least) & (value < -least)
+    return F.when(value.isNull(), F.lit(least).cast(kind)).when(fits, value.cast(kind)).otherwise(F.raise_error(F.lit(f"values do not fit {width} bytes")).cast(kind))
+
+
+def widen_column(stored: Column, width: int) -> Column:
+    """What `narrow_column` was given."""
+    return F.nullif(stored.cast("int"), F.lit(-(1 << (8 * width - 1))))
+
+
+def _moved(data: Column, width: int, rows: int, columns: int) -> Column:
+    """Each whole group of rows x columns bytes, transposed."""
+    group = rows * columns
+
+    def move(b: Column) -> Column:
+        n = F.length(b)
+        whole = n - n % group
+
+        def byte(p: Column) -> Column:
+            at = p % group
+            return F.hex(F.substring(b, F.when(p < whole, p - at + (at % rows) * columns + F.floor(at / rows).cast("int")).otherwise(p) + 1, F.lit(1)))
+
+        return F.when(n == 0, b).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), "")))
+
+    # The variable of an outer lambda, so that the value is computed once.
+    return F.element_at(F.transform(F.array(data), move), 1)
+
+
+def shuffle_column(data: Column, width: int) -> Column:
+    """binary -> binary: `shuffle_bytes` as a column function; NULL for NULL."""
+    return F.when(data.isNotNull(), _moved(data, width, 8, width))
+
+
+def unshuffle_column(data: Column, width: int) -> Column:
+    return F.when(data.isNotNull(), _moved(data, width, width, 8))
+
+
+def missing_words(values: Column) -> Column:
+    """array -> array<long>: `missing_bitmap` as a column function, each word unsigned."""
+    n = F.size(values)
+    flags = F.transform(values, lambda v: v.isNull().cast("long"))
+    bits = F.concat(flags, F.array(F.exists(values, lambda v: v.isNull()).cast("long")))
+
+    def word(w: Column) -> Column:
+        shifted = F.transform(F.slice(bits, w * 32 + 1, 32), lambda b, i: F.call_function("shiftleft", b, i))
+        return F.aggregate(shifted, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), word))
+
+
 def shuffle_bytes(data: bytes, width: int) -> bytes:
     """Groups of eight values of *width* bytes, transposed: all first bytes, then all second ones; a rest of fewer stays as it is."""
     group = 8 * width

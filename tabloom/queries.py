@@ -6,13 +6,16 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .errors import BlobError, TableError
 from .functions import blob, factors, generators, hashing, layout, packing
 from .operators import joins, verbs
 from .plans.table import Table
-from .runtime import shared_dir
+from .runtime import get_threads, is_parallel, set_threads, shared_dir
 from .session import prepare
 from .sources import store
 from .sources.database import Database
@@ -319,9 +322,9 @@ def _customers(spark, sf_dir):
     return a.mutate(k=F.nullif(F.col("k"), F.lit(10).cast("long"))).select("k"), b.mutate(k=F.nullif(F.col("k"), F.lit(10).cast("long"))).select("k")
 
 
-def _set_sql(op: str) -> str:
+def _set_sql(op: str, a: str = "1-URGENT", b: str = "5-LOW") -> str:
     one = "SELECT DISTINCT NULLIF(o_custkey, 10) AS k FROM orders WHERE o_orderpriority = '{}'"
-    return f"{one.format('1-URGENT')} {op} {one.format('5-LOW')}"
+    return f"{one.format(a)} {op} {one.format(b)}"
 
 
 @_query(_set_sql("UNION"))
@@ -348,10 +351,15 @@ def setdiff(spark, sf_dir):
     return a.setdiff(b).df
 
 
-@_query("SELECT false AS setequal")
+def _equal_sql(case: str, a: str, b: str) -> str:
+    return f"SELECT '{case}' AS compared, NOT EXISTS ({_set_sql('EXCEPT', a, b)}) AND NOT EXISTS ({_set_sql('EXCEPT', b, a)}) AS setequal"
+
+
+@_query(f"{_equal_sql('two priorities', '1-URGENT', '5-LOW')} UNION ALL {_equal_sql('a priority, and its rows twice', '1-URGENT', '1-URGENT')}")
 def setequal(spark, sf_dir):
     a, b = _customers(spark, sf_dir)
-    return a.setequal(b)
+    same = a.setequal(a.union_all(a)).select(F.lit("a priority, and its rows twice").alias("compared"), "setequal")
+    return a.setequal(b).select(F.lit("two priorities").alias("compared"), "setequal").unionByName(same)
 
 
 # Chunks, catalog, materialisation.
@@ -460,16 +468,22 @@ def pack_logicals(spark, sf_dir):
     return back.select("o_custkey", F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit("NULL"))), ", "), F.lit("]")).alias("v"))
 
 
-# Hashes and blobs: no XXH64 in SQL, so these are held against Python in the tests.
+# Hashes and blobs.
 
 
-@_query()
+@_query(oracles.hash_plain_sql(hashing.SEED))
 def hash_plain(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", ["doc_id", "text"])
     return docs.select("doc_id", hashing.hash_blob(F.encode("text", "UTF-8")).alias("hash"))
 
 
-@_query()
+@_query(oracles.hash_plain_sql(7))
+def hash_seeded(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", hashing.hash_blob(F.encode("text", "UTF-8"), 7).alias("hash"))
+
+
+@_query(oracles.hash_blocked_sql(hashing.SEED, hashing.LEAST_BLOCK, hashing.BLOCKS))
 def hash_blocked(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", ["doc_id", "text"])
     return docs.select("doc_id", hashing.hash_blocked(F.encode("text", "UTF-8")).alias("hash"))
@@ -483,6 +497,260 @@ def blob_roundtrip(spark, sf_dir):
     return back.select("page_id", F.md5("b").alias("digest"), F.octet_length("b").cast("long").alias("n"))
 
 
+# Storage forms as column functions.
+
+
+@_query(
+    "SELECT o_orderkey, coalesce(NULLIF(o_custkey % 250 - 125, 5), -128)::TINYINT AS stored, NULLIF(o_custkey % 250 - 125, 5)::INTEGER AS value, coalesce(NULLIF(o_custkey, 5), -32768)::SMALLINT AS stored_2, NULLIF(o_custkey, 5)::INTEGER AS value_2 FROM (SELECT o_orderkey, o_custkey % 30000 AS o_custkey FROM orders)"
+)
+def int_compaction(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]).withColumn("o_custkey", F.expr("cast(o_custkey % 30000 as int)"))
+    stored = rows.select(
+        "o_orderkey",
+        packing.narrow_column(F.expr("nullif(o_custkey % 250 - 125, 5)"), 1).alias("stored"),
+        packing.narrow_column(F.expr("nullif(o_custkey, 5)"), 2).alias("stored_2"),
+    )
+    return stored.select("*", packing.widen_column(F.col("stored"), 1).alias("value"), packing.widen_column(F.col("stored_2"), 2).alias("value_2"))
+
+
+def _shuffle_sql(width: int) -> str:
+    at = f"CASE WHEN p < n - n % {8 * width} THEN p - p % {8 * width} + (p % {8 * width}) % 8 * {width} + (p % {8 * width}) // 8 ELSE p END"
+    return f"list_reduce(list_transform(range(n), lambda p: h[2 * ({at}) + 1 : 2 * ({at}) + 2]), lambda a, b: a || b, '')"
+
+
+@_query(f"SELECT page_id, {_shuffle_sql(4)} AS by_4, {_shuffle_sql(8)} AS by_8, h AS back FROM (SELECT page_id, hex(encode(url)) AS h, octet_length(encode(url)) AS n FROM pages)")
+def byte_shuffle(spark, sf_dir):
+    urls = _read(spark, sf_dir, "pages", ["page_id", "url"]).select("page_id", F.encode("url", "UTF-8").alias("b"))
+    moved = urls.select("page_id", packing.shuffle_column(F.col("b"), 4).alias("by_4"), packing.shuffle_column(F.col("b"), 8).alias("by_8"))
+    back = F.when(packing.unshuffle_column(F.col("by_4"), 4) == packing.unshuffle_column(F.col("by_8"), 8), packing.unshuffle_column(F.col("by_8"), 8))
+    return moved.select("page_id", F.hex("by_4").alias("by_4"), F.hex("by_8").alias("by_8"), F.hex(back).alias("back"))
+
+
+@_query(
+    "SELECT o_custkey AS k, list_transform(range((len(v) + 31) // 32), lambda w: list_sum(list_transform(v[32 * w + 1 : 32 * w + 32], lambda x, i: x << (i - 1)))::BIGINT)::VARCHAR AS words FROM (SELECT o_custkey, v || [list_max(v)] AS v FROM (SELECT o_custkey % 50 AS o_custkey, list((o_orderpriority = '5-LOW')::BIGINT ORDER BY o_orderkey) AS v FROM orders GROUP BY ALL))"
+)
+def missing_bitmap(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderpriority"])
+    value = F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))
+    lists = rows.groupBy((F.col("o_custkey") % 50).alias("k")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", value.alias("v")))).alias("l"))
+    words = packing.missing_words(F.transform("l", lambda x: x["v"]))
+    return lists.select("k", F.concat(F.lit("["), F.array_join(words.cast("array<string>"), ", "), F.lit("]")).alias("words"))
+
+
+# Settings of the dial below, at and above the middle, and what each type's two codecs are there.
+_PLANS = {
+    ("int32", 30): (4096, "uncompressed", 0, "lz4 shuffled by 4", 0),
+    ("int64", 80): (2048, "lz4 shuffled by 8", 100, "zstd shuffled by 8", 30),
+    ("double", 90): (2048, "lz4", 90, "zstd", 40),
+    ("logical", 75): (4096, "lz4 of packed logicals", 100, "zstd of packed logicals", 50),
+    ("byte", 50): (16384, "uncompressed", 0, "lz4", 0),
+    ("character", 60): (2047, "lz4", 20, "zstd", 20),
+    ("factor in 1 byte", 40): (4096, "narrowed", 0, "lz4 of narrowed", 40),
+    ("factor in 2 bytes", 70): (4096, "zstd of narrowed, shuffled by 2", 0, "zstd of narrowed, shuffled by 2", 20),
+    ("factor in 4 bytes", 0): (4096, "uncompressed", 0, "lz4 shuffled by 4", 0),
+}
+
+
+def _codec_plan_sql() -> str:
+    rows = ", ".join(f"('{k}', {c}, {size}, '{a}', {la}, '{b}', {lb})" for (k, c), (size, a, la, b, lb) in _PLANS.items())
+    share = "CAST(2 * (CASE WHEN c <= 50 THEN c ELSE c - 50 END) / 100.0 AS REAL)"
+    dense = f"floor(CAST(b + 1 AS REAL) * {share}) - floor(CAST(b AS REAL) * {share}) >= 1"
+    return f"SELECT kind, c::INTEGER AS compress, b AS block, b * size + 1 AS first_row, least(size, n - b * size) AS n_rows, CASE WHEN {dense} THEN dense ELSE plain END AS codec, CAST(CASE WHEN {dense} THEN high ELSE low END AS INTEGER) AS level FROM (VALUES {rows}) v(kind, c, size, plain, low, dense, high), (SELECT count(*) AS n FROM lineitem), range(100000) t(b) WHERE b * size < n"
+
+
+@_query(_codec_plan_sql())
+def codec_plan(spark, sf_dir):
+    n = store.table_meta(spark, f"{sf_dir}/lineitem.parquet").n_rows
+    out = None
+    for kind, compress in _PLANS:
+        one = layout.codec_plan(spark, n, kind, compress).select(F.lit(kind).alias("kind"), F.lit(compress).alias("compress"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Tables written in an order, and from a plan that shuffles.
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS r FROM lineitem) WHERE r BETWEEN 1001 AND 4000")
+def ordered_range(spark, sf_dir):
+    path = _scratch(spark, "ordered")
+    store.write_table(_read(spark, sf_dir, "lineitem").repartition(7), path, 60, order=["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    return store.read_table(spark, path, ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"], 1001, 4000)
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT l_partkey) AS n_keys, min(q) AS least, max(q) AS most, (SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem)) AS n_rows FROM (SELECT l_partkey, sum(l_quantity) AS q, row_number() OVER (ORDER BY sum(l_quantity), l_partkey) AS r FROM lineitem GROUP BY l_partkey) WHERE r BETWEEN 51 AND 150")
+def aggregate_range(spark, sf_dir):
+    path = _scratch(spark, "aggregate")
+    store.write_table(_read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")), path, 30, order=["q", "l_partkey"])
+    n = store.table_meta(spark, path).n_rows
+    return store.read_table(spark, path, None, 51, 150).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("n_keys"), F.min("q").alias("least"), F.max("q").alias("most"), F.lit(n).cast("long").alias("n_rows"))
+
+
+@_query("SELECT o_orderkey, o_totalprice, o_custkey * 2 AS twice FROM orders")
+def cbind_stream(spark, sf_dir):
+    order = ["o_orderkey"]
+    with ChunkStream(spark, _scratch(spark, "cbind"), "w", 30) as s:
+        store.write_table(_read(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), s.path, 30, order=order)
+        s.open(s.path, "a")
+        s.cbind(_read(spark, sf_dir, "orders").orderBy("o_orderkey").select((F.col("o_custkey") * 2).alias("twice")), _scratch(spark, "cbind"))
+        return store.read_table(spark, s.path)
+
+
+@_query("SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint')) v(position, name, type), (SELECT count(*) + count(*) FILTER (WHERE o_custkey % 2 = 0) AS n_rows FROM orders)")
+def stream_meta(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    with ChunkStream(spark, _scratch(spark, "meta"), "w", 30) as s:
+        s.rbind(orders)
+        s.rbind(orders.where("o_custkey % 2 = 0"))
+        m = s.meta_data()
+    return spark.createDataFrame([(i, n, t, m.n_rows) for i, (n, t) in enumerate(zip(m.names, m.types, strict=True))], "position int, name string, type string, n_rows long")
+
+
+# Tables without rows or columns, and what readers refuse.
+
+_EMPTY_TYPES = ("int", "bigint", "string", "boolean", "tinyint", "double", "binary", "timestamp_ntz")
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', 'value', '{t}', 0::BIGINT, 0::BIGINT)" for t in (*_EMPTY_TYPES, "factor of 0 levels", "factor of 128 levels")).replace("'value', 'factor of 0 levels'", "'value', 'string'").replace("'value', 'factor of 128 levels'", "'value', 'string'") + ") v(kind, name, type, n_rows, n_read)")
+def zero_row_types(spark, sf_dir):
+    made = {t: spark.createDataFrame([], f"value {t}") for t in _EMPTY_TYPES}
+    made |= {f"factor of {n} levels": factors.as_factor(spark.createDataFrame([], "value string"), "value", [f"level {i}" for i in range(n)]) for n in (0, 128)}
+    out = []
+    for kind, df in made.items():
+        for compress in (0, 50):
+            path = _scratch(spark, "none")
+            store.write_table(df, path, compress)
+        m = store.table_meta(spark, path)
+        out.append((kind, m.names[0], m.types[0], m.n_rows, store.read_table(spark, path).count()))
+    return spark.createDataFrame(out, "kind string, name string, type string, n_rows long, n_read long")
+
+
+@_query("SELECT 0 AS n_cols, 0 AS n_rows, 0 AS n_read")
+def zero_columns(spark, sf_dir):
+    path = _scratch(spark, "bare")
+    store.write_table(spark.createDataFrame([], "x int").select(), path, 50)
+    m = store.table_meta(spark, path)
+    return spark.createDataFrame([(len(m.names), m.n_rows, len(store.read_table(spark, path).columns))], "n_cols int, n_rows int, n_read int")
+
+
+@_query("SELECT o_orderkey, CAST(NULL AS VARCHAR) AS value FROM orders")
+def factor_zero_levels(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"]).withColumnRenamed("o_orderpriority", "value")
+    return _round_trip(spark, factors.as_factor(df, "value", []), 50, "nolevels")
+
+
+def _refused(read: Callable[[], object], kind: type[Exception], path: str = "") -> str:
+    """The message of the error that *read* raises, without the path."""
+    try:
+        read()
+    except kind as e:
+        return str(e).replace(path, "?") if path else str(e)
+    return "no error"
+
+
+def _values_sql(columns: str, rows: list[tuple[str, str]]) -> str:
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) v({columns})"
+
+
+@_query(
+    _values_sql(
+        "asked, message",
+        [
+            ("no table, no column, no range", "Unable to open table '?'."),
+            ("no column, no range", "Column 'R_NAME' not found"),
+            ("from row 0", "Parameter fromRow should have a positive value."),
+            ("from past the end, to before it", "Row selection is out of range."),
+            ("to before from", "Incorrect row range specified."),
+            ("to past the end", "no error"),
+            ("a later version", "Table '?' has format version 9; this library reads up to 1."),
+            ("a damaged head", "The head of table '?' is damaged."),
+        ],
+    )
+)
+def read_errors(spark, sf_dir):
+    """Errors come in the order table, columns, range, whatever else is wrong."""
+    region, none = f"{sf_dir}/region.parquet", f"{sf_dir}/no-such-table.parquet"
+
+    def stored(head: dict) -> str:
+        path = _scratch(spark, "head")
+        spark.range(1).withColumn(store.ROW, F.lit(0).cast("long")).withMetadata(store.ROW, {"tabloom": head}).write.parquet(path)
+        return path
+
+    later, damaged = stored({"version": 9, "names": ["id"], "keys": []}), stored({"version": 1, "names": ["id", "x"], "keys": [], "hash": "0"})
+    asked = [
+        ("no table, no column, no range", none, ["R_NAME"], 0, -5),
+        ("no column, no range", region, ["R_NAME"], 0, -5),
+        ("from row 0", region, ["r_name"], 0, -5),
+        ("from past the end, to before it", region, ["r_name"], 6, 2),
+        ("to before from", region, ["r_name"], 3, 2),
+        ("to past the end", region, ["r_name"], 3, 900),
+        ("a later version", later, None, 1, -1),
+        ("a damaged head", damaged, None, 1, -1),
+    ]
+    rows = [(name, _refused(lambda p=p, c=c, a=a, b=b: store.read_table(spark, p, c, a, b), TableError, p)) for name, p, c, a, b in asked]
+    return spark.createDataFrame(rows, "asked string, message string")
+
+
+@_query(
+    _values_sql(
+        "damage, message",
+        [
+            ("nothing to compress", "Source contains no data."),
+            ("none", "no error"),
+            ("20 bytes", "Compressed value is too short."),
+            ("first byte, last byte cut", "Header is damaged."),
+            ("last byte cut", "Compressed value is cut off."),
+            ("last byte changed", "A block is damaged."),
+        ],
+    )
+)
+def blob_errors(spark, sf_dir):
+    """Errors come in the order sizes, header, end, blocks."""
+    url = _read(spark, sf_dir, "pages", ["url"]).agg(F.min("url")).first()[0]
+    good = blob.compress_blob(url.encode() * 20, "zstd", 50)
+    turned = bytes([good[0] ^ 1]) + good[1:]
+    rows = [("nothing to compress", _refused(lambda: blob.compress_blob(b""), BlobError))]
+    for damage, data in (("none", good), ("20 bytes", good[:20]), ("first byte, last byte cut", turned[:-1]), ("last byte cut", good[:-1]), ("last byte changed", good[:-1] + bytes([good[-1] ^ 1]))):
+        rows.append((damage, _refused(lambda d=data: blob.decompress_blob(d), BlobError)))
+    return spark.createDataFrame(rows, "damage string, message string")
+
+
+# Names, groups, threads, generators.
+
+
+@_query("SELECT r_regionkey AS id, r_name AS name, 'r_regionkey,r_name' AS before, 'id,name' AS after FROM region")
+def set_names(spark, sf_dir):
+    df = _read(spark, sf_dir, "region")
+    renamed = verbs.set_names(df, ["id", "name"])
+    return renamed.select("id", "name", F.lit(",".join(df.columns)).alias("before"), F.lit(",".join(renamed.columns)).alias("after"))
+
+
+@_query("SELECT 'l_returnflag,l_linestatus' AS grouped, '' AS ungrouped, count(*) AS n FROM lineitem")
+def groups_ungroup(spark, sf_dir):
+    t = Table(_read(spark, sf_dir, "lineitem")).group_by("l_returnflag", "l_linestatus")
+    bare = t.ungroup()
+    return bare.summarise(grouped=F.lit(",".join(t.groups())), ungrouped=F.lit(",".join(bare.groups())), n=F.count(F.lit(1))).df
+
+
+@_query("SELECT 3 AS threads, true AS restored, true AS known")
+def threads(spark, sf_dir):
+    before = set_threads(spark, 3)
+    now = get_threads(spark)
+    set_threads(spark, before)
+    return spark.createDataFrame([(now, get_threads(spark) == before, is_parallel(spark) in (True, False))], "threads int, restored boolean, known boolean")
+
+
+@_query("SELECT i, 42::INTEGER AS value FROM range(500) t(i)")
+def int_constant(spark, sf_dir):
+    return generators.int_constant(spark, 500, 42)
+
+
+@_query(oracles.logical_values_sql(1000, xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42)))
+def logical_values(spark, sf_dir):
+    return generators.logical_values(spark, 1000, 3)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

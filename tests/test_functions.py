@@ -110,3 +110,27 @@ def test_generators(spark):
     assert [r.value for r in generators.int_sequence(spark, 5, 3, 4).orderBy("i").collect()] == [3, 0, 1, 2, 3]
     assert [r.value for r in generators.double_sequence(spark, 2, 1.0, 0.5).orderBy("i").collect()] == [1.5, 2.0]
     assert {r.value for r in generators.logical_values(spark, 50).collect()} == {True, False, None}
+
+
+def test_storage_columns(spark):
+    """The column functions against those for bytes and arrays; nulls, empty values and rests."""
+    rows = [(0, None, None), (1, b"", []), (2, bytes(range(31)), [None]), (3, bytes(range(200)), ["a"] * 31), (4, bytes(range(64)), ["a", None] * 40)]
+    df = spark.createDataFrame(rows, "id int, b binary, v array<string>")
+    for width in (2, 4, 8):
+        moved = df.select("id", "b", packing.shuffle_column(F.col("b"), width).alias("m")).select("*", packing.unshuffle_column(F.col("m"), width).alias("back"))
+        for r in moved.collect():
+            assert (r.m, r.back) == ((None, None) if r.b is None else (packing.shuffle_bytes(bytes(r.b), width), r.b))
+    for r in df.select("v", packing.missing_words(F.col("v")).alias("w")).collect():
+        assert r.w == (None if r.v is None else packing.missing_bitmap(np.array([x is None for x in r.v], bool)).tolist() if r.v else [0])
+    ints = spark.createDataFrame([(None,), (-127,), (0,), (127,)], "i int").select("i", packing.narrow_column(F.col("i"), 1).alias("n")).select("*", packing.widen_column(F.col("n"), 1).alias("w"))
+    assert [(r.n, r.w) for r in ints.collect()] == [(-128, None), (-127, -127), (0, 0), (127, 127)]
+    with pytest.raises(Exception, match="do not fit"):
+        spark.createDataFrame([(-128,)], "i int").select(packing.narrow_column(F.col("i"), 1)).collect()
+
+
+def test_codecs(spark):
+    assert layout.codecs_of("int32", 80) == (("lz4 shuffled by 4", 0), ("zstd shuffled by 4", 60))
+    assert {r.codec for r in layout.codec_plan(spark, 100_000, "logical", 0).collect()} == {"packed logicals"}
+    assert {r.codec for r in layout.codec_plan(spark, 100_000, "double", 100).collect()} == {"zstd"}
+    with pytest.raises(ValueError):
+        layout.codecs_of("double", 101)
