@@ -19,7 +19,7 @@ from .components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"(?s)\A.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_CANONICAL = r"(?is)<link\b[^>]*\srel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical\b)[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -57,9 +57,9 @@ def path_of(url: Column) -> Column:
 
 
 def vertex_of(url: Column) -> Column:
-    """A URL without scheme and fragment, its host in lower case; null where there is no host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, path_of(url), F.regexp_extract(url, _AFTER, 3)))
+    """A URL without scheme and fragment, its host in lower case and an empty path as ``/``; null where there is no host."""
+    host, path = host_of(url), path_of(url)
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, _AFTER, 3)))
 
 
 def _match(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -71,25 +71,43 @@ def _match(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.get(F.filter(table, lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"])), F.lit(0))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments, as a browser resolves them."""
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"\A/", ""), r"(\A|/)(\.\.?)\z", "$1$2/"), "/")
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(F.aggregate(parts, none, step), "/"))).otherwise(path)
+
+
 def _target(base: Column, link: Column) -> Column:
-    """The vertex a link leads to: absolute links, and those relative to scheme or host; null for others."""
-    host = host_of(base)
-    clean = F.regexp_replace(link, "(?s)#.*", "")
+    """The vertex a link leads to, resolved against its page's URL; null for links to the page itself, without a host, or of schemes without one."""
+    host, at = host_of(base), path_of(base)
+    clean = F.regexp_replace(F.regexp_replace(link, "(?i)&(?:amp|#38|#x26);", "&"), "(?s)#.*", "")
+    path, query = F.regexp_extract(clean, r"(?s)\A([^?]*)", 1), F.regexp_extract(clean, r"(?s)\A[^?]*(.*)", 1)
+    folder = F.regexp_replace(F.when(at == "", "/").otherwise(at), r"[^/]*\z", "")
     return (
         F.when(clean.rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://"), vertex_of(clean))
         .when(F.startswith(clean, F.lit("//")), vertex_of(F.concat(F.lit("x:"), clean)))
-        .when(F.startswith(clean, F.lit("/")) & (host != ""), F.concat(host, clean))
+        .when(clean.rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:") | (clean == "") | (host == ""), F.lit(None).cast("string"))
+        .when(path == "", F.concat(host, F.when(at == "", "/").otherwise(at), query))
+        .when(F.startswith(path, F.lit("/")), F.concat(host, _without_dots(path), query))
+        .otherwise(F.concat(host, _without_dots(F.concat(folder, path)), query))
     )
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): canonical links and immediate refreshes of the pages' own markup."""
+    """(u, v): all canonical links and refreshes of the pages' own markup."""
     html, url = F.col(html_col), F.col(url_col)
-    links = F.array(
-        F.when(html.rlike("(?i)canonical"), F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1)),
-        F.when(html.rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _REFRESH_URL, 1)),
-    )
-    found = pages.select(url.alias("url"), F.explode(F.filter(links, lambda x: x.isNotNull() & (x != ""))).alias("link"))
+    none = F.array().cast("array<string>")
+
+    def links(hint: str, tag: str, where: str) -> Column:
+        return F.when(html.rlike(hint), F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, where, 1))).otherwise(none)
+
+    both = F.concat(links("(?i)canonical", _CANONICAL, _HREF), links("(?i)http-equiv", _REFRESH, _REFRESH_URL))
+    found = pages.select(url.alias("url"), F.explode(F.filter(both, lambda x: x.isNotNull() & (x != ""))).alias("link"))
     return found.select(vertex_of(F.col("url")).alias("u"), _target(F.col("url"), F.col("link")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v")
 
 

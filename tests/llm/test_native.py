@@ -280,6 +280,28 @@ def test_url_equivalents(spark):
     assert {r.verdict for r in url_filter.judge_pages(df, []).collect()} == {"allow"}
 
 
+def test_url_links(spark):
+    """Targets as urllib resolves them; where a link leads nowhere there is no edge."""
+    from urllib.parse import urldefrag, urljoin
+
+    links = ["/a", "b.html", "../x", "../../../x", "./", "..", ".", "?id=2", "?a=1&amp;b=2", "/c/./d/../e?q=..", "//Other.org", "http://Other.org?z", "/é/ü", "c/#f"]
+    bases = ["http://h.com/p/q/r.html?old", "https://H.com", "http://h.com/", "http://h.com/p/"]
+    rows = [(f"{b}", f"<link href='{x}' rel='nofollow canonical'>") for b in bases for x in links]
+    got = {(r.url, r.html): r.v for r in spark.createDataFrame(rows, "url string, html string").select("url", "html", url_filter._target(F.col("url"), F.regexp_extract("html", url_filter._HREF, 1)).alias("v")).collect()}
+    for b, html in rows:
+        whole = urldefrag(urljoin(b, html.split("'")[1].replace("&amp;", "&")))[0]
+        host, _, rest = whole.split("://")[1].partition("/") if "/" in whole.split("://")[1].split("?")[0] else (*whole.split("://")[1].partition("?")[:1], "", "?" + whole.partition("?")[2] if "?" in whole else "")
+        assert got[(b, html)] == f"{host.lower()}/{rest}", (b, html)
+    pages = [
+        ("http://h.com/1", '<link rel="canonical" href="/2"><LINK REL="x canonical" HREF="3"><link rel="not-canonical" href="/4"><meta http-equiv=refresh content="0;url=5">'),
+        ("http://h.com/6", '<link rel=canonical href="mailto:x@y"><link rel=canonical href="#top"><a href="/7">canonical</a>'),
+        (None, '<link rel=canonical href="/8">'),
+        ("http://h.com/9", None),
+    ]
+    edges = url_filter.page_edges(spark.createDataFrame(pages, "url string, html string")).collect()
+    assert {(r.u, r.v) for r in edges} == {("h.com/1", f"h.com/{k}") for k in (2, 3, 5)}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     import random
