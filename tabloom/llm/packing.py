@@ -1,34 +1,43 @@
 """Best-fit packing of documents into sequences of a fixed length.
 
-Bulk-synchronous best-fit. Pieces are dealt into classes of equal length and
-gaps into classes of equal size, so that both are range-sorted by their class;
-within a class the order is a rank. In each round every open gap takes one
-piece at most: the pieces, longest first, sweep the gaps for their successor,
-the smallest gap that holds them; pieces that meet at a class of gaps are
-told apart by rank; then the gaps are updated and the next round begins.
-
-A round only needs the counts of each class. There are at most ``most``
-lengths, whatever the number of documents, so the sweeps run over a histogram
-of bounded size on the driver; ranks and places of the documents themselves
-are computed where the documents are.
+Bulk-synchronous best-fit. In each round the open gaps and the open pieces are
+range-sorted together, longest first, a gap before the pieces that fill it. One
+sweep then gives each piece its successor, the smallest gap not yet taken that
+holds it: every task sweeps its own range, and what its pieces or gaps have
+over is told apart by rank, so that runs of gaps meet runs of pieces of later
+ranges. Each gap takes one piece at most in a round; the gaps are updated, and
+the next round begins. Pieces that no gap holds open sequences, longest first:
+as many as their length needs beyond the room of the gaps that are left.
+
+Lengths are dealt with in bands (above a half of *most*, a quarter, a
+sixteenth, the rest), so that short pieces fill what the long ones leave. The
+number of rounds grows with the pieces of a sequence, not with the rows. The
+driver holds counts by length (at most ``most``) and by task, and no rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import n_parts, new_dir
 from .tokens import encode_column
 
+#: Kinds of rows of a round.
+GAP, PIECE, MATCH = 0, 1, 2
+#: Rows of a task of a sweep, unless the session's number of shuffle partitions asks for more.
+ROWS = 100_000
+#: A band ends above these shares of the sequence length.
+BANDS = (2, 4, 16)
+
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: the first may be shorter, all others have *most*."""
@@ -36,116 +45,221 @@ def cut_points(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(a, most) for a in range(first, n, most)]
 
 
-def plan_rounds(histogram: dict[int, int], most: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Placements (length, first rank, count, first sequence, offset), and the number of sequences.
+def sweep(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the gaps (true in *opens*) and of the pieces that take them; each piece takes the last gap before it that is free."""
+    depth = np.cumsum(np.where(opens, 1, -1))
+    # Gaps and pieces that go up to or down from the same level alternate, and neighbours belong together.
+    level = np.where(opens, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    pair = (level[a] == level[b]) & opens[a] & ~opens[b]
+    return a[pair], b[pair]
+
+
+def meet(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Spans of what the tasks' sweeps have left over, at most four a task.
 
-    A placement puts the pieces of one length with ranks first .. first+count-1
-    into consecutive sequences, each at the same offset.
+    *left* gives (task, gaps, pieces); a task's pieces stand before its gaps. A
+    span (task, kind, first, base, sign) holds from its first rank on: with a
+    sign, base + sign * rank numbers the match; without, base + rank numbers
+    the pieces, or the gaps, that stay.
     """
-    left = {k: v for k, v in histogram.items() if v}
-    rank: dict[int, int] = defaultdict(int)
-    # Open sequences as runs: gap -> list of [first sequence, count].
-    gaps: dict[int, list[list[int]]] = defaultdict(list)
-    placed, sequences = [], 0
-    while left:
-        sizes = sorted(g for g in gaps if gaps[g])
-        after: dict[int, list[list[int]]] = defaultdict(list)
-        moved = False
-        for length in sorted(left, reverse=True):
-            at = bisect.bisect_left(sizes, length)
-            while left[length] and at < len(sizes):
-                gap = sizes[at]
-                runs = gaps[gap]
-                while left[length] and runs:
-                    first, count = runs[-1]
-                    take = min(count, left[length])
-                    placed.append((length, rank[length], take, first, most - gap))
-                    rank[length] += take
-                    left[length] -= take
-                    moved = True
-                    if gap > length:
-                        after[gap - length].append([first, take])
-                    if take == count:
-                        runs.pop()
-                    else:
-                        runs[-1] = [first + take, count - take]
-                if runs:
-                    break
-                sizes.pop(at)
-        left = {k: v for k, v in left.items() if v}
-        if left and not moved:
-            # No gap holds any of them: the longest open new sequences, as many as leave no room for two.
-            for length in sorted(left, reverse=True):
-                if 2 * length <= most and length != max(left):
-                    break
-                # Of lengths up to half, so many sequences as the pieces of this length fill.
-                count = left[length] if 2 * length > most else -(-left[length] * length // most)
-                count = min(left[length], max(1, count))
-                placed.append((length, rank[length], count, sequences, 0))
-                rank[length] += count
-                left[length] -= count
-                if most > length:
-                    after[most - length].append([sequences, count])
-                sequences += count
-            left = {k: v for k, v in left.items() if v}
-        for gap, runs in after.items():
-            gaps[gap].extend(runs)
-    return placed, sequences
+    spans, stack, matched, stay = [], [], 0, 0
+    for task, gaps, pieces in sorted(left):
+        at = 0
+        while at < pieces and stack:
+            top = stack[-1]
+            m = min(top[1], pieces - at)
+            spans.append((top[0], GAP, top[1] - m, matched + top[1] - 1, -1))
+            spans.append((task, PIECE, at, matched - at, 1))
+            matched, at, top[1] = matched + m, at + m, top[1] - m
+            if not top[1]:
+                stack.pop()
+        if at < pieces:
+            spans.append((task, PIECE, at, stay - at, 0))
+            stay += pieces - at
+        if gaps:
+            stack.append([task, gaps])
+    return spans + [(task, GAP, 0, 0, 0) for task, _ in stack]
+
+
+def opened(waiting: dict[int, int], gaps: dict[int, int], most: int, matched: bool) -> int:
+    """How many of the pieces that no gap holds open a sequence; pieces and gaps as counts by size."""
+    if not waiting:
+        return 0
+    room = sum(size * n for size, n in gaps.items() if size >= min(waiting))
+    need = -(-(sum(size * n for size, n in waiting.items()) - room) // most)
+    alone = sum(n for size, n in waiting.items() if 2 * size > most)
+    return min(max(need, alone, 0 if matched else 1), sum(waiting.values()))
 
 
 def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: its document's id, piece, start, length, ids_crc32, and its rank among those of its length in its partition."""
+    """Per piece: its document's id, piece, start, length, ids_crc32, and a number of its own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for a, b, texts in encode_column(path, batch.column(1), end):
                 rows = []
                 for key, ids in zip(keys[a:b], texts, strict=True):
                     for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
-                        rows.append((key, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 5), strict=True)], names=[f.name for f in schema])
+                        rows.append((key, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), uid))
+                        uid += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4), strict=True)], names=[f.name for f in schema])
 
     schema = T.StructType(
         [T.StructField("__key", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType())]
-        + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "__part", "__rank")]
+        + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "__uid")]
     )
     return docs.select(F.col(id_col).alias("__key"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 2, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _written(df: DataFrame, kind: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder."""
+    path = new_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _swept(items: DataFrame, n: int) -> DataFrame:
+    """The rows of one round, (kind, size, id, mate, length, task, rank): each task's matches, and what it has left over with its rank.
+
+    The ranks of the pieces left over are 0-based by task, longest first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not parts:
+            return
+        kind, size, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        opens = kind == GAP
+        a, b = sweep(opens)
+        alone = np.ones(len(opens), dtype=bool)
+        alone[a] = alone[b] = False
+        kind = np.where(opens, GAP, PIECE)[alone]
+        rank = np.where(kind == GAP, np.cumsum(kind == GAP), np.cumsum(kind == PIECE)) - 1
+        none, task = np.zeros(len(kind), dtype=np.int64), TaskContext.get().partitionId()
+        found = (
+            np.concatenate([np.full(len(a), MATCH), kind]).astype(np.int32),
+            *(np.concatenate(x) for x in ((size[a], size[alone]), (key[a], key[alone]), (key[b], none), (size[b], none))),
+            np.full(len(a) + len(kind), task),
+            np.concatenate([np.zeros(len(a), dtype=np.int64), rank]),
+        )
+        yield from pa.table([pa.array(x) for x in found], names=["kind", "size", "id", "mate", "length", "task", "rank"]).to_batches(1 << 16)
+
+    order = (F.col("size").desc(), F.col("kind"), F.col("id"))
+    return _written(items.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, "kind int, size long, id long, mate long, length long, task long, rank long"), "sweep")
+
+
+def _met(spark: SparkSession, found: DataFrame, spans: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The rows of a sweep with ``match``, the number of the match across tasks or -1, and ``rank``, of pieces that stay among all that do."""
+    # At most four spans a task.
+    ordered = sorted(spans)
+    table = spark.sparkContext.broadcast((np.array([((t * 2 + k) << 40) + first for t, k, first, _, _ in ordered], dtype=np.int64), *(np.array([x[i] for x in ordered], dtype=np.int64) for i in (3, 4))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, base, sign = table.value
+        for batch in batches:
+            kind, size, key, mate, length, task, rank = (c.to_numpy() for c in batch.columns)
+            if len(first) and len(kind):
+                at = np.searchsorted(first, ((task * 2 + kind) << 40) + rank, "right") - 1
+                left, paired = kind != MATCH, sign[at] != 0
+                match = np.where(left & paired, base[at] + sign[at] * rank, -1)
+                rank = np.where(left & ~paired, base[at] + rank, -1)
+            else:
+                match = np.full(len(kind), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, size, key, mate, length, match, rank)], names=["kind", "size", "id", "mate", "length", "match", "rank"])
+
+    return found.mapInArrow(run, "kind int, size long, id long, mate long, length long, match long, rank long")
+
+
+def _round(items: DataFrame, n: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """One sweep over all tasks: gaps and pieces that stay (these ranked, longest first) and matches, with the room that gaps have; their counts by kind and room."""
+    after = _swept(items, n)
+    if n > 1:
+        left: dict[int, list[int]] = {}
+        # Two rows a task at most.
+        for r in after.where(F.col("kind") != MATCH).groupBy("task", "kind").count().collect():
+            left.setdefault(r["task"], [0, 0])[r["kind"]] = r["count"]
+        met = _met(items.sparkSession, after, meet([(task, *x) for task, x in left.items()]))
+        side = {"size": (GAP, "size"), "id": (GAP, "id"), "mate": (PIECE, "id"), "length": (PIECE, "size")}
+        # Two rows a match.
+        crossed = met.where("match >= 0").groupBy("match").agg(*[F.max(F.when(F.col("kind") == k, F.col(x))).alias(c) for c, (k, x) in side.items()])
+        columns = ("kind", *side, "rank")
+        after = _written(met.where("match < 0").select(*columns).union(crossed.select(F.lit(MATCH).alias("kind"), *side, F.lit(-1).cast("long").alias("rank"))), "round")
+    after = after.withColumn("room", F.when(F.col("kind") == MATCH, F.col("size") - F.col("length")).otherwise(F.col("size")))
+    # No more sizes of a kind than the sequence length.
+    return after, {(r["kind"], r["room"]): r["count"] for r in after.groupBy("kind", "room").count().collect()}
+
+
+def place(small: DataFrame, sizes: dict[int, int], most: int, rows: int = ROWS) -> list[DataFrame]:
+    """Where the pieces (size, id) of *small* go, all shorter than *most*, as tables (__uid, sequence_id, offset); *sizes* counts them by size.
+
+    A sequence has the number of the piece that opens it.
+    """
+    placed: list[DataFrame] = []
+    gaps: list[DataFrame] = []
+    n_gaps: dict[int, int] = {}
+    is_match, is_piece = F.col("kind") == MATCH, F.col("kind") == PIECE
+    for low, high in zip([most // b for b in BANDS] + [0], [most] + [most // b for b in BANDS], strict=True):
+        n_pieces = sum(n for size, n in sizes.items() if low < size <= high)
+        if not n_pieces:
+            continue
+        items = small.where((F.col("size") > low) & (F.col("size") <= high)).select(F.lit(PIECE).alias("kind"), "size", "id")
+        for g in gaps:
+            items = items.union(g.where(F.col("size") > low))
+        gaps = [g.where(F.col("size") <= low) for g in gaps]
+        while n_pieces:
+            n = n_pieces + sum(n for size, n in n_gaps.items() if size > low)
+            after, counts = _round(items, min(max(1, -(-n // rows)), n_parts(small.sparkSession)))
+            n_gaps = {size: n for size, n in n_gaps.items() if size <= low}
+            for (kind, room), n in counts.items():
+                if kind != PIECE and room:
+                    n_gaps[room] = n_gaps.get(room, 0) + n
+            waiting = {room: n for (kind, room), n in counts.items() if kind == PIECE}
+            n_open = opened(waiting, n_gaps, most, any(kind == MATCH for kind, _ in counts))
+            n_pieces, rest = sum(waiting.values()) - n_open, n_open
+            for size in sorted(waiting, reverse=True):
+                take = min(rest, waiting[size])
+                if take:
+                    n_gaps[most - size] = n_gaps.get(most - size, 0) + take
+                rest -= take
+            opens = is_piece & (F.col("rank") < n_open)
+            placed.append(
+                after.where(is_match | opens).select(
+                    F.when(is_match, F.col("mate")).otherwise(F.col("id")).alias("__uid"),
+                    F.col("id").alias("sequence_id"),
+                    F.when(is_match, most - F.col("size")).otherwise(F.lit(0)).cast("long").alias("offset"),
+                )
+            )
+            rows_left = after.select(
+                F.when(is_piece & ~opens, PIECE).otherwise(GAP).alias("kind"),
+                F.when(opens, most - F.col("size")).otherwise(F.col("room")).alias("size"),
+                "id",
+            )
+            items = rows_left.where(is_piece | (F.col("size") > low))
+            # Gaps that hold no piece of this band wait for the next.
+            gaps.append(rows_left.where(~is_piece & (F.col("size") > 0) & (F.col("size") <= low)))
+        # The last round's other gaps wait as well.
+        gaps.append(items)
+    return placed
+
+
+def pack_documents(docs: DataFrame, path: str, end: int = 2, most: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty, so its document is one piece of the *end* id. Only
     documents of more than *most* ids are cut. Rows that repeat an id are
-    packed each; an empty table gives no pieces. Sequence ids have no gaps.
+    packed each; an empty table gives no pieces. A sequence has the number of
+    the piece that opens it. *rows* is what one task of a sweep holds.
     """
-    made = cut(pieces(docs, path, end, most, id_col, text_col))
-    counts = made.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__part", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before"))
+    made = _written(pieces(docs, path, end, most, id_col, text_col), "pieces")
     # One row for each length, so no more than `most`.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placed, _ = plan_rounds(histogram, most)
-    table: dict[int, tuple[list, list]] = {}
-    for length, first, _, sequence, offset in sorted(placed):
-        ranks, to = table.setdefault(length, ([], []))
-        ranks.append(first)
-        to.append((sequence, offset))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequence, offset = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("__rank").to_pylist(), strict=True):
-                ranks, to = table[length]
-                k = bisect.bisect_right(ranks, rank) - 1
-                sequence.append(to[k][0] + rank - ranks[k])
-                offset.append(to[k][1])
-            columns = [batch.column(c) for c in ("__key", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[f.name for f in schema])
-
-    schema = T.StructType(made.schema.fields[:5] + [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")])
-    ranked = made.join(before, ["__part", "length"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    return ranked.select("__key", "piece", "start", "length", "ids_crc32", "__rank").mapInArrow(place, schema).withColumnRenamed("__key", id_col)
+    sizes = {r["length"]: r["count"] for r in made.where(F.col("length") < most).groupBy("length").count().collect()}
+    full = made.where(F.col("length") == most).withColumn("sequence_id", F.col("__uid")).withColumn("offset", F.lit(0).cast("long"))
+    placed = place(made.where(F.col("length") < most).select(F.col("length").alias("size"), F.col("__uid").alias("id")), sizes, most, rows)
+    out = full.drop("__uid")
+    if placed:
+        out = out.union(made.where(F.col("length") < most).join(reduce(DataFrame.union, placed), "__uid").drop("__uid"))
+    return out.withColumnRenamed("__key", id_col)
