@@ -33,8 +33,8 @@ from .tokens import encode_column
 
 #: Kinds of rows of a round.
 GAP, PIECE, MATCH = 0, 1, 2
-#: Rows of a task of a sweep, unless the session's number of shuffle partitions asks for more.
-ROWS = 100_000
+#: Rows (20 bytes each) of a task of a sweep, unless that makes more tasks than the session has shuffle partitions.
+ROWS = 400_000
 #: A band ends above these shares of the sequence length.
 BANDS = (2, 4, 16)
 
