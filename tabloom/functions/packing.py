@@ -6,7 +6,7 @@ The column functions work on arrays of one row; NULL elements are missing values
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Logicals in a 64-bit word: two bits each.
@@ -78,15 +78,34 @@ def unshuffle_column(data: Column, width: int) -> Column:
 
 def missing_words(values: Column) -> Column:
     """array -> array<long>: `missing_bitmap` as a column function, each word unsigned."""
-    n = F.size(values)
-    flags = F.transform(values, lambda v: v.isNull().cast("long"))
-    bits = F.concat(flags, F.array(F.exists(values, lambda v: v.isNull()).cast("long")))
 
-    def word(w: Column) -> Column:
-        shifted = F.transform(F.slice(bits, w * 32 + 1, 32), lambda b, i: F.call_function("shiftleft", b, i))
-        return F.aggregate(shifted, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    def words(bits: Column) -> Column:
+        def word(w: Column) -> Column:
+            shifted = F.transform(F.slice(bits, w * 32 + 1, 32), lambda b, i: F.call_function("shiftleft", b, i))
+            return F.aggregate(shifted, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), word))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 32).cast("int")), word)
+
+    flags = F.transform(values, lambda v: v.isNull().cast("long"))
+    bits = F.concat(flags, F.array(F.exists(values, lambda v: v.isNull()).cast("long")))
+    # The variable of an outer lambda, so that the bits are computed once and not for each word; NULL for NULL.
+    return F.element_at(F.transform(F.when(values.isNotNull(), F.array(bits)), words), 1)
+
+
+def missing_words_by(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """(key, ``words``): `missing_words` of each key's values in the order of *order*, where these are too many for an array.
+
+    Rows are numbered in a window, which spills, and each word gathers its own
+    32 bits; so only a key's words ever lie in one row.
+    """
+    flag, at = F.col(value).isNull().cast("long"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    bits = rows.select(key, flag.alias("__flag"), at.alias("__at")).groupBy(key, F.floor(F.col("__at") / 32).alias("__w"))
+    words = bits.agg(F.bit_or(F.call_function("shiftleft", F.col("__flag"), F.col("__at") % 32)).alias("__bits"), F.count(F.lit(1)).alias("__n"))
+    lists = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__w", "__bits"))).alias("__l"), F.sum("__n").alias("__n"), F.max(F.col("__bits") != 0).cast("long").alias("__any"))
+    whole, rest = F.transform("__l", lambda x: x["__bits"]), (F.col("__n") % 32).cast("int")
+    last = F.call_function("shiftleft", F.col("__any"), rest)
+    ended = F.concat(F.slice(whole, 1, F.size("__l") - 1), F.array(F.element_at(whole, -1).bitwiseOR(last)))
+    return lists.select(key, F.when(rest == 0, F.concat(whole, F.array(last))).otherwise(ended).alias("words"))
 
 
 def shuffle_bytes(data: bytes, width: int) -> bytes:

@@ -2,6 +2,7 @@
 
 import os
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +129,21 @@ def test_storage_columns(spark):
         spark.createDataFrame([(-128,)], "i int").select(packing.narrow_column(F.col("i"), 1)).collect()
 
 
+def test_bitmaps_of_many_values(spark):
+    """Long arrays take time in proportion, and values that lie in rows give the words of their array."""
+    sizes = [1, 31, 32, 33, 64, 100, 9000]
+    df = spark.createDataFrame([(k, i, None if i % 7 == k else "a") for k, n in enumerate(sizes) for i in range(n)], "k int, i int, v string")
+    lists = df.repartition(3, "i").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("l"))
+    want = {r.k: r.w for r in lists.select("k", packing.missing_words(F.transform("l", lambda x: x["v"])).alias("w")).collect()}
+    assert want == {k: packing.missing_bitmap(np.array([i % 7 == k for i in range(n)])).tolist() for k, n in enumerate(sizes)}
+    assert {r.k: r.words for r in packing.missing_words_by(df.repartition(3, "i"), "k", ["i"], "v").collect()} == want
+    n = 200_000
+    begun = time.monotonic()
+    long = spark.range(1).select(packing.missing_words(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 7 != 0, i))).alias("w")).first().w
+    assert long == packing.missing_bitmap(np.arange(1, n + 1) % 7 == 0).tolist()
+    assert time.monotonic() - begun < 20
+
+
 def test_codecs(spark):
     assert layout.codecs_of("int32", 80) == (("lz4 shuffled by 4", 0), ("zstd shuffled by 4", 60))
     assert {r.codec for r in layout.codec_plan(spark, 100_000, "logical", 0).collect()} == {"packed logicals"}
