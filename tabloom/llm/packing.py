@@ -11,8 +11,10 @@ as many as their length needs beyond the room of the gaps that are left.
 
 Lengths are dealt with in bands (above a half of *most*, a quarter, a
 sixteenth, the rest), so that short pieces fill what the long ones leave. The
-number of rounds grows with the pieces of a sequence, not with the rows. The
-driver holds counts by length (at most ``most``) and by task, and no rows.
+number of rounds grows with the pieces of a sequence, not with the rows. As
+soon as the open gaps and pieces are no more than one task sweeps, the rounds
+that are left are that task's: they need no shuffle, so it goes on by itself.
+The driver holds counts by length (at most ``most``) and by task, and no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ from .tokens import encode_column
 
 #: Kinds of rows of a round.
 GAP, PIECE, MATCH = 0, 1, 2
-#: Rows (20 bytes each) of a task of a sweep, unless that makes more tasks than the session has shuffle partitions.
+#: Rows (20 bytes each) of a task of a sweep, unless that makes more tasks than the session has shuffle partitions; so many or fewer go on in one task.
 ROWS = 400_000
 #: A band ends above these shares of the sequence length.
 BANDS = (2, 4, 16)
+#: Bytes of texts that are encoded at once: the workers of a pipeline hold models of other stages beside.
+BATCH = 2_000_000
 
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:
@@ -93,6 +97,41 @@ def opened(waiting: dict[int, int], gaps: dict[int, int], most: int, matched: bo
     return min(max(need, alone, 0 if matched else 1), sum(waiting.values()))
 
 
+def finish(kind: np.ndarray, size: np.ndarray, key: np.ndarray, bands: list[tuple[int, int]], most: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """All rounds of *bands*, (low, high) each, over gaps and pieces that one task holds: (piece, sequence, offset) of all pieces, and (size, id) of the gaps that stay."""
+    order = np.argsort(key, kind="stable")  # the same result in whatever order rows come
+    kind, size, key = kind[order], size[order], key[order]
+    pieces, gaps, placed = (size[kind == PIECE], key[kind == PIECE]), (size[kind == GAP], key[kind == GAP]), []
+    joined = lambda *parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    counts = lambda x: {k: n for k, n in enumerate(np.bincount(x).tolist()) if n}
+    small = np.min_scalar_type(2 * most + 1)
+    for low, high in bands:
+        of = (pieces[0] > low) & (pieces[0] <= high)
+        waiting, fits = tuple(x[of] for x in pieces), gaps[0] > low
+        wait, gaps = [tuple(x[~fits] for x in gaps)], tuple(x[fits] for x in gaps)
+        while len(waiting[0]):
+            size, key = joined(gaps, waiting)
+            opens = np.arange(len(size)) < len(gaps[0])
+            order = np.argsort((2 * (most - size) + ~opens).astype(small), kind="stable")
+            size, key, opens = size[order], key[order], opens[order]
+            a, b = sweep(opens)
+            placed.append((key[b], key[a], most - size[a]))
+            alone = np.ones(len(opens), dtype=bool)
+            alone[a] = alone[b] = False
+            gaps = joined((size[a] - size[b], key[a]), (size[alone & opens], key[alone & opens]))
+            waiting = size[alone & ~opens], key[alone & ~opens]
+            n = opened(counts(waiting[0]), counts(gaps[0]), most, len(a) > 0)
+            placed.append((waiting[1][:n], waiting[1][:n], np.zeros(n, dtype=np.int64)))
+            gaps = joined(gaps, (most - waiting[0][:n], waiting[1][:n]))
+            waiting = tuple(x[n:] for x in waiting)
+            fits = gaps[0] > low
+            # Gaps that hold no piece of this band wait for the next.
+            wait.append(tuple(x[~fits & (gaps[0] > 0)] for x in gaps))
+            gaps = tuple(x[fits] for x in gaps)
+        gaps = joined(*wait, gaps)
+    return joined(*placed) if placed else (np.zeros(0, dtype=np.int64),) * 3, gaps
+
+
 def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: its document's id, piece, start, length, ids_crc32, and a number of its own."""
 
@@ -100,7 +139,7 @@ def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_i
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, texts in encode_column(path, batch.column(1), end):
+            for a, b, texts in encode_column(path, batch.column(1), end, BATCH):
                 rows = []
                 for key, ids in zip(keys[a:b], texts, strict=True):
                     for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
@@ -152,6 +191,21 @@ def _swept(items: DataFrame, n: int) -> DataFrame:
     return _written(items.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, "kind int, size long, id long, mate long, length long, task long, rank long"), "sweep")
 
 
+def _finished(items: DataFrame, bands: list[tuple[int, int]], most: int) -> DataFrame:
+    """`finish` in one task, for no more rows than a task of a sweep holds: (kind, id, mate, size), MATCH rows with sequence, piece and offset, GAP rows with id and room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not parts:
+            return
+        (piece, sequence, offset), (room, gap) = finish(*(np.concatenate(x) for x in zip(*parts, strict=True)), bands, most)
+        kind = np.repeat(np.array([MATCH, GAP], dtype=np.int32), [len(piece), len(gap)])
+        found = kind, np.concatenate([sequence, gap]), np.concatenate([piece, gap]), np.concatenate([offset, room])
+        yield from pa.table([pa.array(x) for x in found], names=["kind", "id", "mate", "size"]).to_batches(1 << 16)
+
+    return _written(items.repartition(1).mapInArrow(run, "kind int, id long, mate long, size long"), "rest")
+
+
 def _met(spark: SparkSession, found: DataFrame, spans: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """The rows of a sweep with ``match``, the number of the match across tasks or -1, and ``rank``, of pieces that stay among all that do."""
     # At most four spans a task.
@@ -177,22 +231,25 @@ def _met(spark: SparkSession, found: DataFrame, spans: list[tuple[int, int, int,
 def _round(items: DataFrame, n: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """One sweep over all tasks: gaps and pieces that stay (these ranked, longest first) and matches, with the room that gaps have; their counts by kind and room."""
     after = _swept(items, n)
-    if n > 1:
-        left: dict[int, list[int]] = {}
-        # Two rows a task at most.
-        for r in after.where(F.col("kind") != MATCH).groupBy("task", "kind").count().collect():
-            left.setdefault(r["task"], [0, 0])[r["kind"]] = r["count"]
-        met = _met(items.sparkSession, after, meet([(task, *x) for task, x in left.items()]))
-        side = {"size": (GAP, "size"), "id": (GAP, "id"), "mate": (PIECE, "id"), "length": (PIECE, "size")}
-        # Two rows a match.
-        crossed = met.where("match >= 0").groupBy("match").agg(*[F.max(F.when(F.col("kind") == k, F.col(x))).alias(c) for c, (k, x) in side.items()])
-        columns = ("kind", *side, "rank")
-        after = _written(met.where("match < 0").select(*columns).union(crossed.select(F.lit(MATCH).alias("kind"), *side, F.lit(-1).cast("long").alias("rank"))), "round")
+    left: dict[int, list[int]] = {}
+    # Two rows a task at most.
+    for r in after.where(F.col("kind") != MATCH).groupBy("task", "kind").count().collect():
+        left.setdefault(r["task"], [0, 0])[r["kind"]] = r["count"]
+    met = _met(items.sparkSession, after, meet([(task, *x) for task, x in left.items()]))
+    side = {"size": (GAP, "size"), "id": (GAP, "id"), "mate": (PIECE, "id"), "length": (PIECE, "size")}
+    # Two rows a match.
+    crossed = met.where("match >= 0").groupBy("match").agg(*[F.max(F.when(F.col("kind") == k, F.col(x))).alias(c) for c, (k, x) in side.items()])
+    columns = ("kind", *side, "rank")
+    after = _written(met.where("match < 0").select(*columns).union(crossed.select(F.lit(MATCH).alias("kind"), *side, F.lit(-1).cast("long").alias("rank"))), "round")
     after = after.withColumn("room", F.when(F.col("kind") == MATCH, F.col("size") - F.col("length")).otherwise(F.col("size")))
     # No more sizes of a kind than the sequence length.
     return after, {(r["kind"], r["room"]): r["count"] for r in after.groupBy("kind", "room").count().collect()}
 
 
+def _placed(done: DataFrame) -> DataFrame:
+    return done.where(F.col("kind") == MATCH).select(F.col("mate").alias("__uid"), F.col("id").alias("sequence_id"), F.col("size").alias("offset"))
+
+
 def place(small: DataFrame, sizes: dict[int, int], most: int, rows: int = ROWS) -> list[DataFrame]:
     """Where the pieces (size, id) of *small* go, all shorter than *most*, as tables (__uid, sequence_id, offset); *sizes* counts them by size.
 
@@ -202,17 +259,35 @@ def place(small: DataFrame, sizes: dict[int, int], most: int, rows: int = ROWS)
     gaps: list[DataFrame] = []
     n_gaps: dict[int, int] = {}
     is_match, is_piece = F.col("kind") == MATCH, F.col("kind") == PIECE
-    for low, high in zip([most // b for b in BANDS] + [0], [most] + [most // b for b in BANDS], strict=True):
+    parts = n_parts(small.sparkSession)
+    in_one = lambda n: n <= rows or parts == 1
+    ends = [most, *(most // b for b in BANDS), 0]
+    bands = list(zip(ends[1:], ends, strict=False))
+    for k, (low, high) in enumerate(bands):
         n_pieces = sum(n for size, n in sizes.items() if low < size <= high)
         if not n_pieces:
             continue
-        items = small.where((F.col("size") > low) & (F.col("size") <= high)).select(F.lit(PIECE).alias("kind"), "size", "id")
+        all_left = in_one(sum(n for size, n in sizes.items() if size <= high) + sum(n_gaps.values()))
+        floor = 0 if all_left else low
+        items = small.where((F.col("size") > floor) & (F.col("size") <= high)).select(F.lit(PIECE).alias("kind"), "size", "id")
         for g in gaps:
-            items = items.union(g.where(F.col("size") > low))
+            items = items.union(g.where(F.col("size") > floor))
+        if all_left:
+            placed.append(_placed(_finished(items, bands[k:], most)))
+            break
         gaps = [g.where(F.col("size") <= low) for g in gaps]
         while n_pieces:
             n = n_pieces + sum(n for size, n in n_gaps.items() if size > low)
-            after, counts = _round(items, min(max(1, -(-n // rows)), n_parts(small.sparkSession)))
+            if in_one(n):
+                done = _finished(items, [(low, high)], most)
+                placed.append(_placed(done))
+                gaps.append(done.where(F.col("kind") == GAP).select("kind", "size", "id"))
+                n_gaps = {size: n for size, n in n_gaps.items() if size <= low}
+                # One row for each size.
+                for r in gaps[-1].groupBy("size").count().collect():
+                    n_gaps[r["size"]] = n_gaps.get(r["size"], 0) + r["count"]
+                break
+            after, counts = _round(items, min(-(-n // rows), parts))
             n_gaps = {size: n for size, n in n_gaps.items() if size <= low}
             for (kind, room), n in counts.items():
                 if kind != PIECE and room:
@@ -241,8 +316,9 @@ def place(small: DataFrame, sizes: dict[int, int], most: int, rows: int = ROWS)
             items = rows_left.where(is_piece | (F.col("size") > low))
             # Gaps that hold no piece of this band wait for the next.
             gaps.append(rows_left.where(~is_piece & (F.col("size") > 0) & (F.col("size") <= low)))
-        # The last round's other gaps wait as well.
-        gaps.append(items)
+        else:
+            # The last round's other gaps wait as well.
+            gaps.append(items)
     return placed
 
 
@@ -252,7 +328,8 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, most: int = 1024, i
     A null text is empty, so its document is one piece of the *end* id. Only
     documents of more than *most* ids are cut. Rows that repeat an id are
     packed each; an empty table gives no pieces. A sequence has the number of
-    the piece that opens it. *rows* is what one task of a sweep holds.
+    the piece that opens it. *rows* is what one task of a sweep holds; with
+    no more of them open, the rounds go on in one task.
     """
     made = _written(pieces(docs, path, end, most, id_col, text_col), "pieces")
     # One row for each length, so no more than `most`.

@@ -138,7 +138,7 @@ class Chunked:
             out.append([whole[a:b] for a, b in zip(place, place[1:], strict=False)])
         return out
 
-    def column(self, texts: pa.Array):
+    def column(self, texts: pa.Array, limit: int = BATCH):
         """Batches of a text column: (first row, end row, for each result the bytes of each of these rows)."""
         texts = texts.cast(pa.large_string())
         if texts.null_count:
@@ -150,7 +150,7 @@ class Chunked:
         data = texts.buffers()[2]
         begin = 0
         while begin < n:
-            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BATCH, "right")) - 1)
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + limit, "right")) - 1)
             end = min(end, n)
             low, high = int(ends[begin]), int(ends[end])
             piece = data.slice(low, high - low).to_pybytes() if data is not None else b""
@@ -235,8 +235,8 @@ def encode_texts(path: str, texts: list[str | None], end: int | None = None) ->
     return [bytes(p) + tail for p in byte_bpe(path).batch(texts)[0]]
 
 
-def encode_column(path: str, texts: pa.Array, end: int):
+def encode_column(path: str, texts: pa.Array, end: int, limit: int = BATCH):
     """Batches of a text column: (first row, end row, ids of each of these rows with *end* appended)."""
     tail = np.array([end], dtype="<u4").tobytes()
-    for a, b, (ids,) in byte_bpe(path).column(texts):
+    for a, b, (ids,) in byte_bpe(path).column(texts, limit):
         yield a, b, [bytes(p) + tail for p in ids]

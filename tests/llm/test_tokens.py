@@ -14,6 +14,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabloom.llm import bpe, packing, perfect_hash, queries, token_files, tokens
@@ -274,6 +275,31 @@ def test_sweeps_of_tasks_meet_as_one_sweep(gaps, pieces, bounds):
     assert [-stay[k][0] for k in range(len(stay))] == waiting
 
 
+def test_many_short_pieces_take_few_jobs(spark):
+    """Rounds of what one task holds are no Spark jobs."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("a "), F.col("id").cast("string"))).otherwise("b").alias("text"))
+    context = spark.sparkContext
+    context.setJobGroup("few", "few")
+    got = packing.pack_documents(docs, BYTE, most=64).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("few")) <= 12
+    lengths = [r.length for r in got]
+    assert len(lengths) == 600 and len({r.sequence_id for r in got}) == in_rounds(lengths, 64)
+
+
+def test_rounds_hold_for_more_tasks_than_asked(spark, sf, monkeypatch):
+    """What a sweep gives must not hang on how many tasks it was dealt to."""
+    items = spark.range(400).select(F.when(F.col("id") < 150, packing.GAP).otherwise(packing.PIECE).alias("kind"), (F.col("id") * 7 % 50 + 1).alias("size"), "id")
+    deal = type(items).repartitionByRange
+    monkeypatch.setattr(type(items), "repartitionByRange", lambda self, n, *by: deal(self, 9, *by))
+    after, _ = packing._round(items, 1)
+    sizes = {k: [r["size"] for r in items.collect() if r["kind"] == k] for k in (packing.GAP, packing.PIECE)}
+    matched, _, waiting = taken(sizes[packing.GAP], sizes[packing.PIECE])
+    rows = after.collect()
+    assert sorted((r["size"], r["length"]) for r in rows if r["kind"] == packing.MATCH) == sorted(matched)
+    assert [r["size"] for r in sorted((r for r in rows if r["kind"] == packing.PIECE), key=lambda r: r["rank"])] == waiting
+
+
 @pytest.mark.parametrize("rows", [40, 100_000])
 def test_rounds_give_what_lists_give(spark, sf, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
