@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import sys
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +75,15 @@ def passes(spark: SparkSession, bitmap: np.ndarray, hashed: Column) -> Column:
     return test(hashed)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed but keeps to the system: a worker that serves one stage after another keeps the most that any of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

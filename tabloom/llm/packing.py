@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_parts, new_dir
+from .common import give_back, n_parts, new_dir
 from .tokens import encode_column
 
 #: Kinds of rows of a round.
@@ -41,6 +41,8 @@ ROWS = 400_000
 BANDS = (2, 4, 16)
 #: Bytes of texts that are encoded at once: the workers of a pipeline hold models of other stages beside.
 BATCH = 2_000_000
+#: Rows of a batch whose texts are copied at once.
+SLICE = 500
 
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:
@@ -132,20 +134,28 @@ def finish(kind: np.ndarray, size: np.ndarray, key: np.ndarray, bands: list[tupl
     return joined(*placed) if placed else (np.zeros(0, dtype=np.int64),) * 3, gaps
 
 
+def _from(at: int, encoded: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """What a slice that begins at row *at* gives, with the rows of the whole."""
+    return ((at + a, at + b, texts) for a, b, texts in encoded)
+
+
 def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: its document's id, piece, start, length, ids_crc32, and a number of its own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
+        # What an earlier stage's tasks have left in a reused worker.
+        give_back()
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, texts in encode_column(path, batch.column(1), end, BATCH):
+            for a, b, texts in (x for at in range(0, len(keys), SLICE) for x in _from(at, encode_column(path, batch.column(1).slice(at, SLICE), end, BATCH))):
                 rows = []
                 for key, ids in zip(keys[a:b], texts, strict=True):
                     for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
                         rows.append((key, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), uid))
                         uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4), strict=True)], names=[f.name for f in schema])
+            give_back()
 
     schema = T.StructType(
         [T.StructField("__key", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType())]
