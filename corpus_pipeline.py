@@ -36,8 +36,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, most=1024)
+    """The pieces of all documents with their places in sequences. Fewer chunks are remembered than alone: executors are near their memory here."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, most=1024, kept=100_000)
 
 
 STAGES = [

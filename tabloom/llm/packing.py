@@ -139,7 +139,7 @@ def _from(at: int, encoded: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[
     return ((at + a, at + b, texts) for a, b, texts in encoded)
 
 
-def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
     """Per piece: its document's id, piece, start, length, ids_crc32, and a number of its own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, path: str, end: int, most: int, id_col: str = "doc_i
         give_back()
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, texts in (x for at in range(0, len(keys), SLICE) for x in _from(at, encode_column(path, batch.column(1).slice(at, SLICE), end, BATCH))):
+            for a, b, texts in (x for at in range(0, len(keys), SLICE) for x in _from(at, encode_column(path, batch.column(1).slice(at, SLICE), end, BATCH, kept))):
                 rows = []
                 for key, ids in zip(keys[a:b], texts, strict=True):
                     for k, (start, length) in enumerate(cut_points(len(ids) // 4, most)):
@@ -332,16 +332,17 @@ def place(small: DataFrame, sizes: dict[int, int], most: int, rows: int = ROWS)
     return placed
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 2, most: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int = 2, most: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, kept: int | None = None) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty, so its document is one piece of the *end* id. Only
     documents of more than *most* ids are cut. Rows that repeat an id are
     packed each; an empty table gives no pieces. A sequence has the number of
     the piece that opens it. *rows* is what one task of a sweep holds; with
-    no more of them open, the rounds go on in one task.
+    no more of them open, the rounds go on in one task. *kept* is how many
+    chunks of texts a worker remembers in each of two generations.
     """
-    made = _written(pieces(docs, path, end, most, id_col, text_col), "pieces")
+    made = _written(pieces(docs, path, end, most, id_col, text_col, kept), "pieces")
     # One row for each length, so no more than `most`.
     sizes = {r["length"]: r["count"] for r in made.where(F.col("length") < most).groupBy("length").count().collect()}
     full = made.where(F.col("length") == most).withColumn("sequence_id", F.col("__uid")).withColumn("offset", F.lit(0).cast("long"))

@@ -94,8 +94,8 @@ class Chunked:
     what has been seen again meanwhile.
     """
 
-    def __init__(self, encode: Callable[[str], tuple[bytes, ...] | bytes], results: int):
-        self.encode, self.results = encode, results
+    def __init__(self, encode: Callable[[str], tuple[bytes, ...] | bytes], results: int, kept: int | None = None):
+        self.encode, self.results, self.kept = encode, results, kept
         self.known: dict[bytes, object] = {}
         self.before: dict[bytes, object] = {}
 
@@ -104,7 +104,7 @@ class Chunked:
         if got is None:
             got = self.encode(chunk.decode())
         if len(chunk) <= LONGEST:
-            if len(self.known) >= KEPT:
+            if len(self.known) >= (self.kept or KEPT):
                 self.before, self.known = self.known, {}
             self.known[chunk] = got
         return got
@@ -178,7 +178,7 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*made["model"]["vocab"].values(), *[t["id"] for t in made.get("added_tokens", [])]])
 
 
-def byte_bpe(path: str) -> Chunked:
+def byte_bpe(path: str, kept: int | None = None) -> Chunked:
     """Ids of a tokenizers file as little-endian unsigned 32-bit bytes.
 
     The strings of special tokens in a text are ordinary text. A chunk without
@@ -186,7 +186,7 @@ def byte_bpe(path: str) -> Chunked:
     BPE model one by one, which saves the bookkeeping of a whole encoding; any
     other chunk is encoded by the library as a text.
     """
-    key = ("tokenizers", path)
+    key = ("tokenizers", path, kept)
     if key not in _ENCODERS:
         vocabulary_size(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -210,7 +210,7 @@ def byte_bpe(path: str) -> Chunked:
             if ids is None:
                 ids = piece_ids(piece)
                 if len(piece) <= LONGEST:
-                    if len(known) >= KEPT:
+                    if len(known) >= (kept or KEPT):
                         known.clear()
                     known[piece] = ids
             return ids
@@ -225,7 +225,7 @@ def byte_bpe(path: str) -> Chunked:
                 return b"".join(map(of_piece, split(text)))
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-        _ENCODERS[key] = Chunked(encode, 1)
+        _ENCODERS[key] = Chunked(encode, 1, kept)
     return _ENCODERS[key]
 
 
@@ -235,8 +235,8 @@ def encode_texts(path: str, texts: list[str | None], end: int | None = None) ->
     return [bytes(p) + tail for p in byte_bpe(path).batch(texts)[0]]
 
 
-def encode_column(path: str, texts: pa.Array, end: int, limit: int = BATCH):
+def encode_column(path: str, texts: pa.Array, end: int, limit: int = BATCH, kept: int | None = None):
     """Batches of a text column: (first row, end row, ids of each of these rows with *end* appended)."""
     tail = np.array([end], dtype="<u4").tobytes()
-    for a, b, (ids,) in byte_bpe(path).column(texts, limit):
+    for a, b, (ids,) in byte_bpe(path, kept).column(texts, limit):
         yield a, b, [bytes(p) + tail for p in ids]
